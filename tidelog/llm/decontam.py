@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import WordHash, mixed, name, slices, windows
+from tidelog.llm.common import WordHash, mixed, name, slices, windows, with_text_columns
 
 _WORDS = re.compile(r"\w+").findall
 _BITS = np.arange(64, dtype=np.uint64)
@@ -143,32 +144,46 @@ class Items:
         return best
 
 
+def item_slices(benchmark: DataFrame, item_col: str, item_text: str, slice_items: int) -> list:
+    """Broadcasts of the items, about ``slice_items`` at most in each."""
+    items = benchmark.select(name(item_col).cast("long").alias("i"), name(item_text).alias("t"))
+    n = -(-max(items.count(), 1) // slice_items)
+    context = benchmark.sparkSession.sparkContext
+    parts = (items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == s) for s in range(n))
+    return [context.broadcast([(r.i, r.t) for r in part.orderBy("i", "t").collect()]) for part in parts]
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     k: int = 5, least: float = 0.8, radius: int = 20, slice_items: int = 20_000,
 ) -> DataFrame:
     """One row for each document and item with a window of similarity ``least`` or more."""
-    items = benchmark.select(name(item_col).cast("long").alias("i"), name(item_text).alias("t"))
-    n = -(-max(items.count(), 1) // slice_items)
     source = docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
-
-    def one(part: DataFrame) -> DataFrame:
-        rows = context.broadcast([(r.i, r.t) for r in part.orderBy("i", "t").collect()])  # one slice
 
+    def one(rows) -> DataFrame:
         def run(batches):
             own = Items(rows.value, k, least, radius, WordHash())
             for batch in batches:
                 for piece in slices(batch):
                     out = [(d, i, *found) for d, t in zip(*map(pa.Array.to_pylist, piece.columns)) for i, found in sorted(own.matches(t).items())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
         return source.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionAll, (one(items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == s)) for s in range(n)))
+    return reduce(DataFrame.unionAll, map(one, item_slices(benchmark, item_col, item_text, slice_items)))
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    k: int = 5, least: float = 0.8, radius: int = 20, slice_items: int = 20_000,
+) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; texts are read in place."""
+    for rows in item_slices(benchmark, item_col, item_text, slice_items):
 
+        def make(rows=rows):
+            own = Items(rows.value, k, least, radius, WordHash())
+            return lambda texts: [[bool(own.matches(t)) for t in texts]]
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, name(id_col) == F.col("__leak"), "left_anti")
+        docs = with_text_columns(docs, text_col, make, [T.StructField("__leak", T.BooleanType())]).where("NOT __leak").drop("__leak")
+    return docs

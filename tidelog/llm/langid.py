@@ -189,8 +189,8 @@ def calibrated(sample: DataFrame, model: Model) -> float:
     return float(t[found["i"]]) if found else 1.0
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score (the calibrated probability of it)."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its calibrated probability, as ``names``."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def make():
@@ -206,7 +206,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
         return lambda texts: [*zip(*map(one, texts))]
 
-    return with_text_columns(df, text_col, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep)
+    return with_text_columns(df, text_col, make, [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
