@@ -26,6 +26,7 @@ from tidelog.llm.common import WordHash, name, windows, with_text_columns, writt
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 ACCURACY = 0.01
+SALT = 32
 _LOG = float(np.log((1 + ACCURACY) / (1 - ACCURACY)))
 #: Measure: (what it is of the words, the least distance of a fence from its quartile).
 MEASURES = {"word_length": ("word_chars", 3.0), "symbol_rate": ("n_symbols", 0.25), "line_repeats": ("n_dup_lines", 0.02), "word_repeats": ("n_repeat_words", 0.15)}
@@ -105,7 +106,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"),
     )
     limits = fences(sketches(keyed, groups), groups, reach, least)
-    joined = keyed.join(limits, groups, "left")
+    # a hot source's rows go to SALT places, and its one row of fences to each of them
+    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALT)).cast("int"))
+    joined = salted.join(limits, [*groups, "salt"], "left")
     inside = reduce(
         lambda a, b: a & b,
         (F.coalesce((value_of(k) >= F.col(f"low_{k}")) & (value_of(k) <= F.col(f"high_{k}")), F.lit(True)) for k in MEASURES),
