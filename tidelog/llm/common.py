@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch that are held as Python objects at once.
 SLICE = 64
 #: Entries of a per-task memo of words; a full memo starts anew.
-MEMO = 400_000
+MEMO = 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,10 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage."""
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage.
+
+    Its shuffle files go as soon as it is written, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

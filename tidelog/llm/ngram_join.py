@@ -8,10 +8,13 @@ tells frequent shingles from others.  Any order gives the same links; this one k
 * Equal sets are one node, by their digest, whatever the number of copies.
 * Index lists are skipped by position: a pair is a candidate only if the sizes and the
   positions of a common shingle in both sets leave room for enough common shingles.
-* Answers come from similar sets: a list's smallest set is compared with all others of the
-  list first.  Sets that are linked to it share its class, so pairs within a class are known to be
-  connected and are never formed.  A list whose sets all have one class is skipped whole; in the
-  others only sets outside the list's largest class are compared with the rest.
+* Lists are cut into blocks by size, so that only sets of one block or of neighbours can be
+  linked; a block without company is skipped.
+* Answers come from similar sets: each set is compared with one head of its own and of the
+  neighbouring blocks.  Sets that are linked to a head share its class, and pairs within a class
+  are known to be connected and never formed.  A list whose sets all have one class is
+  skipped whole.  ``ROUNDS`` of other heads follow; then the sets outside a list's largest class
+  are compared with all sets of other classes in it.
 
 Candidates are verified on whole sets.  Classes are connected components of the links.
 
@@ -37,6 +40,9 @@ SKETCH = 1 << 19
 _CHUNK = 1 << 13
 #: Bits of the filter of documents whose sets are needed.
 FILTER = 1 << 23
+#: Turns of comparing each list's sets with heads, before the rest is compared; heads of a block in a turn.
+ROUNDS = 3
+HEADS = 4
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -107,29 +113,25 @@ def prefixes(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFr
 def whole_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """node, own (its whole set) of the documents that ``wanted`` (node) has.
 
-    A filter of fixed size leaves out most other documents before their sets are made;
-    those it lets through wrongly go in the join."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    words = wanted.select(bit("node").alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    A filter of fixed size leaves out most other documents before their sets are made; the few
+    that it lets through have no pair to join."""
+    words = _filter_words(F.col("node"), wanted)
     filled = np.zeros(FILTER // 64, np.int64)
     rows = words.toPandas()  # FILTER / 64 words at most
     filled[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
-    def make():
+    def run(batches):
         hashes = WordHash()
-        return lambda texts: [pa.array([shingles(t, k, hashes).view(np.int64) for t in texts], pa.list_(pa.int64()))]
-
-    def passing(batches):
         for batch in batches:
             b = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = (shared.value[b >> 6] >> (b & 63)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
+            batch = batch.filter(pa.array(((shared.value[b >> 6] >> (b & 63)) & 1).astype(bool)))
+            for part in slices(batch):
+                own = [shingles(t, k, hashes).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 
-    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit"))
-    source = source.mapInArrow(passing, "doc_id long, text string, bit long")
-    made = with_text_columns(source, "text", make, [T.StructField("own", T.ArrayType(T.LongType()))], ["doc_id"], as_bytes=True)
-    return made.select(F.col("doc_id").alias("node"), "own")
+    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bit"))
+    return source.mapInArrow(run, "node long, own array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,12 +169,63 @@ def _room(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     )
 
 
+def _filter_words(nodes: Column, pairs: DataFrame) -> DataFrame:
+    """w, bits: a bit filter of ``nodes``, of FILTER / 64 rows at most."""
+    bit = F.pmod(F.xxhash64(nodes), F.lit(FILTER))
+    return pairs.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole sets."""
-    one = sets.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
-    two = sets.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
-    both = pairs.join(one, "b").join(two, "a")
-    return both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("i"), (F.size("own_a") + F.size("own_b")).alias("s")).where(f"100 * i >= {percent} * (s - i)").select("a", "b")
+    """The pairs (a, b) that are links, by their whole sets.
+
+    A filter of fixed size, broadcast, keeps sets without a pair from being shuffled."""
+
+    def needed(side: str) -> DataFrame:
+        words = F.broadcast(_filter_words(F.col(side), pairs))
+        bit = F.pmod(F.xxhash64("node"), F.lit(FILTER))
+        hit = sets.withColumn("bit", bit).withColumn("w", F.expr("bit div 64")).join(words, "w").where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1")
+        return hit.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"))
+
+    both = pairs.join(needed("b"), "b").join(needed("a"), "a")
+    return both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("i"), (F.size("own_a") + F.size("own_b")).alias("s")).where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
+
+
+def _head_pairs(live: DataFrame, turn: int, percent: int, tried: DataFrame | None) -> DataFrame:
+    """Pairs (a < b) of entries with heads of their own and neighbouring blocks of a list.
+
+    First each entry with the smallest set of each block; in later turns each set's entry in its
+    longest list with ``HEADS`` others, drawn by a digest.  Few for each entry, whatever the list."""
+    head = "min(named_struct('o', {}, 'node', node, 'n', n, 'pos', pos, 'label', label))"
+    orders = [f"xxhash64(node, {turn * HEADS + i})" for i in range(HEADS)] if turn else ["cast(n as bigint)"]
+    heads = live.groupBy("h", "b").agg(F.count("*").alias("m"), F.expr(f"array({', '.join(map(head.format, orders))})").alias("heads"))
+    if turn:
+        sized = live.join(heads.select("h", "b", "m"), ["h", "b"])
+        live = sized.groupBy("node").agg(F.expr("max_by(struct(h, b, n, pos, label), struct(m, h))").alias("e")).select("node", "e.*")
+    spread = heads.select("h", F.expr("explode(array(b - 1, b, b + 1))").alias("b"), "heads")
+    around = spread.groupBy("h", "b").agg(F.flatten(F.collect_list("heads")).alias("heads"))  # of three blocks
+    pairs = live.join(around, ["h", "b"]).select("node", "n", "pos", "label", F.explode(F.array_distinct("heads")).alias("head"))
+    pairs = pairs.where("label <> head.label AND node <> head.node").where(_room("n", "pos", "head.n", "head.pos", percent))
+    pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _open_lists(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """The entries with their new labels, without the lists that have one class only."""
+    named = live.drop("label").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    still = named.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select("h")
+    return named.join(still, "h").select(*live.columns)
+
+
+def _crossing(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of entries of a list with different classes that could be linked."""
+    by_class = live.groupBy("h", "label").agg(F.count("*").alias("m"))
+    largest = by_class.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
+    known = live.join(largest, "h")
+    x = known.where("label <> largest").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")))
+    y = known.select("h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "largest")))
+    crossing = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
+    rest = x.join(y, "h").where(crossing & _room("x_n", "x_pos", "y_n", "y_pos", percent))
+    return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -182,32 +235,34 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     reps = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     # one row a distinct set; its prefix comes from the row of the smallest id
     nodes = rows.where("n_shingles > 0").join(reps.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "s1", "s2"])
-    postings = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    heads = postings.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("n", "node", "pos")).alias("head")).where("m > 1")
-    lists = written(postings.join(heads.select("h", "head"), "h"), "lists")
-    wanted = lists.select("node").distinct()
-    sets = written(whole_sets(docs, k, wanted).dropDuplicates(["node"]).join(wanted, "node"), "whole")
-
-    first = lists.where("node <> head.node").where(_room("n", "pos", "head.n", "head.pos", percent))
-    first = first.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_linked(first, sets, percent), "links")
-    classes = written(components(links), "classes")
-
-    # what the classes leave open: lists with sets of two classes or more
-    labelled = lists.join(classes, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    labelled = written(labelled, "labelled")
-    by_class = labelled.groupBy("h", "label").agg(F.count("*").alias("m"))
-    largest = by_class.groupBy("h").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("m", "label")).alias("largest")).where("classes > 1")
-    live = labelled.join(largest.select("h", "largest"), "h")
-    x = live.where("label <> largest").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")))
-    y = live.select("h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "largest")))
-    crossing = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
-    rest = x.join(y, "h").where(crossing & _room("x_n", "x_pos", "y_n", "y_pos", percent))
-    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_linked(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    postings = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    block = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    entries = written(postings.join(shared, "h").withColumn("b", block), "entries")
+    # a set may be linked to one of its block or of the next, since sizes differ by 100 / percent at most
+    near = F.expr("explode(array(b - 1, b, b + 1))")
+    company = entries.groupBy("h", "b").agg(F.count("*").alias("m")).select("h", near.alias("near"), "m", "b")
+    company = company.groupBy("h", F.col("near").alias("b")).agg(F.sum("m").alias("m"), F.max(F.expr("b = near")).alias("own")).where("own AND m > 1")
+    live = written(entries.join(company.select("h", "b"), ["h", "b"]).withColumn("label", F.col("node")), "lists")
+    sets = written(whole_sets(docs, k, live.select("node").distinct()), "whole")
+
+    classes = links = tried = None
+    for turn in range(ROUNDS):
+        pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
+        found = written(_linked(pairs, sets, percent), "links")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        if turn and found.isEmpty():
+            break
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.unionAll(found)
+        classes = written(components(links), "classes")
+        live = written(_open_lists(live, classes), "lists")
+    more = written(_linked(_crossing(live, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
-        classes = written(components(links.unionAll(more)), "classes")
+        classes = components(more if links is None else links.unionAll(more))
+    if classes is None:
+        classes = reps.select("node", F.col("node").alias("label")).limit(0)
 
     named = reps.join(classes, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))
     # rows of one set are many where a text has many copies: a skewed join, which Spark can split
