@@ -41,8 +41,8 @@ _CHUNK = 1 << 13
 #: Bits of the filter of documents whose sets are needed.
 FILTER = 1 << 23
 #: Turns of comparing each list's sets with heads, before the rest is compared; heads of a block in a turn.
-ROUNDS = 3
-HEADS = 4
+ROUNDS = 2
+HEADS = 8
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -175,19 +175,26 @@ def _filter_words(nodes: Column, pairs: DataFrame) -> DataFrame:
     return pairs.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole sets.
+def _needed(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The rows (node, ...) of the nodes in column ``side`` of ``pairs``, their columns named for it.
 
-    A filter of fixed size, broadcast, keeps sets without a pair from being shuffled."""
+    A filter of fixed size, broadcast, keeps the others from being shuffled."""
+    words = F.broadcast(_filter_words(F.col(side), pairs))
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER))
+    hit = rows.withColumn("bit", bit).withColumn("w", F.expr("bit div 64")).join(words, "w").where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1")
+    return hit.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "node"))
 
-    def needed(side: str) -> DataFrame:
-        words = F.broadcast(_filter_words(F.col(side), pairs))
-        bit = F.pmod(F.xxhash64("node"), F.lit(FILTER))
-        hit = sets.withColumn("bit", bit).withColumn("w", F.expr("bit div 64")).join(words, "w").where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1")
-        return hit.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"))
 
-    both = pairs.join(needed("b"), "b").join(needed("a"), "a")
-    return both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("i"), (F.size("own_a") + F.size("own_b")).alias("s")).where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
+def _linked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: by what their prefixes leave possible, then by whole sets."""
+    prefix = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix")
+    both = pairs.join(_needed(prefix, pairs, "b"), "b").join(_needed(prefix, pairs, "a"), "a")
+    # common shingles that are not in both prefixes lie beyond the end of one of them
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    likely = written(both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "likely")
+    both = likely.join(_needed(sets, likely, "b"), "b").join(_needed(sets, likely, "a"), "a")
+    both = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("i"), (F.size("own_a") + F.size("own_b")).alias("s"))
+    return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
 
 
 def _head_pairs(live: DataFrame, turn: int, percent: int, tried: DataFrame | None) -> DataFrame:
@@ -249,7 +256,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     classes = links = tried = None
     for turn in range(ROUNDS):
         pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
-        found = written(_linked(pairs, sets, percent), "links")
+        found = written(_linked(pairs, rows, sets, percent), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if turn and found.isEmpty():
             break
@@ -258,7 +265,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         links = found if links is None else links.unionAll(found)
         classes = written(components(links), "classes")
         live = written(_open_lists(live, classes), "lists")
-    more = written(_linked(_crossing(live, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    rest = written(_crossing(live, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = written(_linked(rest, rows, sets, percent), "links")
     if not more.isEmpty():
         classes = components(more if links is None else links.unionAll(more))
     if classes is None:
