@@ -86,12 +86,18 @@ class Items:
         self.default = float(np.log(1 + n))
         self.known = np.sort(np.fromiter(self.weight, np.uint64, len(self.weight)))
         self.known_weight = np.array([self.weight[s] for s in self.known.tolist()])
+        # most shingles are no item's: a table of their low bits says so without a search
+        self.low = np.uint64((1 << 20) - 1)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known & self.low).astype(np.int64)] = True
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
         self.by_size: dict[int, list[Item]] = defaultdict(list)
         for i, size, sh in shingled:
             w = np.array([self.weight[s] for s in sh.tolist()])
             self.by_size[size].append(Item(i, Counter(sh.tolist()), int(packed((signs(sh) * w[:, None]).sum(0))), float(w.sum())))
+        self.bounds = sorted((size, least * min(i.total for i in items) - 1e-6) for size, items in self.by_size.items())
+        self.of_size = {size: np.unique(np.fromiter((x for i in items for x in i.shingles), np.uint64)) for size, items in self.by_size.items()}
         self.index = {}
         for size, items in self.by_size.items():
             tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in self.blocks]
@@ -108,30 +114,39 @@ class Items:
 
     def weights_at(self, shingles: np.ndarray) -> np.ndarray:
         """The weight of each shingle that an item has, else 0."""
-        if not len(self.known):
-            return np.zeros(len(shingles))
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.known_weight[at], 0.0)
+        out = np.zeros(len(shingles))
+        on = np.flatnonzero(self.maybe[(shingles & self.low).astype(np.int64)])
+        if len(on):
+            own = shingles[on]
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            out[on] = np.where(self.known[at] == own, self.known_weight[at], 0.0)
+        return out
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int, int]]:
         """item_id -> (similarity, first word, words) of its best window; ties: the first."""
         words = words_of(text, self.hashes)
         best: dict[int, tuple[float, int, int]] = {}
         by_k: dict[int, tuple] = {}
-        for size in sorted(self.by_size):
+        for size, bound in self.bounds:
             if size > len(words):
                 break
             k = min(self.k, size)
             if k not in by_k:
                 sh = windows(words, k)
                 hit = self.weights_at(sh)
-                by_k[k] = sh, hit, np.concatenate(([0.0], np.cumsum(hit))), bool(hit.any())
-            sh, hit, upto, any_hit = by_k[k]
-            if not any_hit:
+                on = np.flatnonzero(hit)
+                by_k[k] = sh, hit, on, sh[on], hit[on], float(hit.sum())
+            sh, hit, on, on_sh, on_hit, total = by_k[k]
+            if total < bound:
+                continue
+            own_hit = np.where(np.isin(on_sh, self.of_size[size]), on_hit, 0.0)  # of items of this size only
+            if own_hit.sum() < bound:
                 continue
             n = size - k + 1
+            placed = np.zeros(len(sh))
+            placed[on] = own_hit
+            upto = np.concatenate(([0.0], np.cumsum(placed)))
             mass = upto[n:] - upto[:-n]
-            bound = self.least * min(i.total for i in self.by_size[size]) - 1e-6
             for start in np.flatnonzero(mass >= bound).tolist():
                 own = sh[start : start + n]
                 w = np.where(hit[start : start + n] > 0, hit[start : start + n], self.default)
