@@ -16,16 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import chain
+import re
 
+import ahocorasick
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidelog.llm.common import MEMO, with_text_columns
+from tidelog.llm.common import with_text_columns
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORDS = re.compile(r" *[^ ]+| +")
+#: Entries of a task's memo of words; a full memo starts anew.
+WORDS = 500_000
 #: Positions between two looks for a common boundary.
 _LOOK = 64
 
@@ -39,6 +42,12 @@ class Vocabulary:
         self.byte_of = {i: int(m[1], 16) for i, p in enumerate(pieces) if not plain[i] and (m := _BYTE.fullmatch(p))}
         self.of_byte = {b: i for i, b in self.byte_of.items()}
         self.piece = {self.text[i]: (i, scores[i]) for i in range(len(pieces)) if plain[i] and self.text[i]}
+        self.begun = dict.fromkeys(p[:i] for p in self.piece for i in range(1, len(p))) | self.piece
+        self.single = {p for p in self.piece if len(p) == 1}
+        self.ends = ahocorasick.Automaton()
+        for p, (i, score) in self.piece.items():
+            self.ends.add_word(p, (len(p), i, score))
+        self.ends.make_automaton()
         self.longest = max(map(len, self.piece), default=1)
         low = min((s for _, s in self.piece.values() if s > -1e8), default=0.0)
         self.byte_score = low - 10.0
@@ -106,6 +115,43 @@ def _between(start: list, end: list) -> list[int]:
     return list(chain.from_iterable(reversed(back)))
 
 
+def short_path(word: str, v: Vocabulary) -> tuple[int, ...]:
+    """The same best path for a word that is held whole: its positions are the window."""
+    if v.single.issuperset(word):  # every position can be reached: take the pieces as they end, the longest first
+        value, back = [0.0] + [-1e300] * len(word), [(0, 0)] * (len(word) + 1)
+        for end, (size, i, score) in v.ends.iter(word):
+            total = value[end + 1 - size] + score
+            if total > value[end + 1]:
+                value[end + 1] = total
+                back[end + 1] = (end + 1 - size, i)
+        out, end = [], len(word)
+        while end:
+            end, i = back[end]
+            out.append(i)
+        out.reverse()
+        return tuple(out)
+    get, n = v.begun.get, len(word)
+    value, back = [0.0] + [-1e300] * n, [None] * (n + 1)
+    for start in range(n):  # an earlier start makes a longer piece: it keeps a tie
+        own = value[start]
+        for end in range(start + 1, n + 1):
+            found = get(word[start:end], False)
+            if found is False:  # no piece begins so
+                break
+            if found is not None and own + found[1] > value[end]:
+                value[end], back[end] = own + found[1], (start, found[0])
+        if word[start] not in v.single:
+            ids, cost = v.fallback(word[start])
+            if own + cost > value[start + 1]:
+                value[start + 1], back[start + 1] = own + cost, (start, ids)
+    out, end = [], len(word)
+    while end:
+        end, ids = back[end]
+        out.append(ids)
+    out.reverse()
+    return tuple(out) if not any(isinstance(i, tuple) for i in out) else tuple(chain.from_iterable(i if isinstance(i, tuple) else (i,) for i in out))
+
+
 class Encoder(dict):
     """Memo from a word to its identifiers."""
 
@@ -113,11 +159,11 @@ class Encoder(dict):
         self.v = v
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
+        if len(self) >= WORDS:
             self.clear()
-        ids = tuple(stream(word, self.v))
-        if len(word) <= 64:
-            self[word] = ids
+        if len(word) > 64:
+            return tuple(stream(word, self.v))
+        ids = self[word] = short_path(word, self.v)
         return ids
 
     def __call__(self, text: str) -> list[int]:
