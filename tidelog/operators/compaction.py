@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.model import DELETION, MERGE, VALUE
+from tidelog.operators import resolve as resolve_module
 from tidelog.operators.resolve import SUM, Merge, resolve, uncovered
 
 COLUMNS = ("user_key", "seq", "kind", "value")
@@ -74,13 +75,13 @@ def overlapping(files: DataFrame, level: int, lower: str, upper: str) -> DataFra
 def find_file(files: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """Of sorted, disjoint files the one whose range has each key, or none.
 
-    The candidate is the file of the greatest smallest key at or before the key."""
-    own = files.where(F.col("level") == level)
-    marks = own.select(F.col("smallest").alias("k"), F.lit(0).alias("o"), F.struct("num", "largest").alias("f"), F.lit(None).cast("string").alias("user_key"))
-    asked = keys.select(F.col("user_key").alias("k"), F.lit(1).alias("o"), F.lit(None).cast(marks.schema["f"].dataType).alias("f"), "user_key")
-    last = F.last("f", ignorenulls=True).over(Window.partitionBy(F.substring("k", 1, 4)).orderBy("k", "o").rowsBetween(Window.unboundedPreceding, 0))
-    found = marks.unionByName(asked).withColumn("at", last).where("o = 1")
-    return found.select("user_key", F.when(F.col("user_key") <= F.col("at.largest"), F.col("at.num")).alias("num"))
+    A level of few files goes to every task; beyond that both are dealt by key range."""
+    own = files.where(F.col("level") == level).select("num", "smallest", "largest")
+    inside = (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest"))
+    if own.limit(resolve_module.BROADCAST_RANGES + 1).count() <= resolve_module.BROADCAST_RANGES:
+        return keys.join(F.broadcast(own), inside, "left").select("user_key", "num")
+    keyed, dealt = resolve_module.by_place(keys, "user_key", own, "smallest", "largest")
+    return keyed.join(dealt, (F.col("__place") == F.col("place")) & inside, "left").select("user_key", "num")
 
 
 def pick_l0(files: DataFrame, trigger: int = 4) -> DataFrame:

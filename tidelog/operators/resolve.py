@@ -50,15 +50,20 @@ def uncovered(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) ->
     covers = (F.col("user_key") >= F.col("start_key")) & (F.col("user_key") < F.col("end_key")) & (F.col("seq") < F.col("rseq"))
     if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
         return log.join(F.broadcast(ranges), covers, "left_anti")
-    # many range deletions: keys and ranges meet in ranges of keys cut at a bounded sample
-    seen = ranges.select("start_key").orderBy(F.xxhash64("start_key")).limit(KEY_RANGES - 1).distinct().collect()
-    cuts = F.array(*(F.lit(r.start_key) for r in sorted(seen)))
-    place = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
-    dealt = ranges.withColumn("place", F.explode(F.sequence(place(F.col("start_key")), place(F.col("end_key")))))
-    keyed = log.withColumn("__place", place(F.col("user_key")))
+    keyed, dealt = by_place(log, "user_key", ranges, "start_key", "end_key")
     return keyed.join(dealt, (F.col("__place") == F.col("place")) & covers, "left_anti").drop("__place")
 
 
+def by_place(keys: DataFrame, key: str, ranges: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Keys with the range of keys they lie in (__place), ranges once for each that they touch (place).
+
+    The cuts are a bounded sample of the ranges' starts."""
+    seen = ranges.select(F.col(start).alias("k")).orderBy(F.xxhash64("k")).limit(KEY_RANGES - 1).distinct().collect()
+    cuts = F.array(*(F.lit(r.k) for r in sorted(seen)))
+    place = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    return keys.withColumn("__place", place(F.col(key))), ranges.withColumn("place", F.explode(F.sequence(place(F.col(start)), place(F.col(end)))))
+
+
 def chains(live: DataFrame) -> DataFrame:
     """Of uncovered records each key's base and the merge records after it.
 
