@@ -14,7 +14,8 @@ tells frequent shingles from others.  Any order gives the same links; this one k
   neighbouring blocks.  Sets that are linked to a head share its class, and pairs within a class
   are known to be connected and never formed.  A list whose sets all have one class is
   skipped whole.  ``ROUNDS`` of other heads follow; then the sets outside a list's largest class
-  are compared with all sets of other classes in it.
+  are compared with all sets of other classes in it.  There a parity map of each set bounds how much
+  two sets can share, so that sets that only meet by chance are never paired.
 
 Candidates are verified on whole sets.  Classes are connected components of the links.
 
@@ -43,6 +44,8 @@ FILTER = 1 << 23
 #: Turns of comparing each list's sets with heads, before the rest is compared; heads of a block in a turn.
 ROUNDS = 2
 HEADS = 8
+#: 64-bit words of a set's parity map.
+PARITY = 8
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -57,6 +60,14 @@ def _slot(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.int64) & (SKETCH - 1)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots, whether an odd number of the set's shingles fall into it.
+
+    Maps of two sets differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount((own & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
     """For each slot of the sketch 0 if its shingles are rare, else how frequent (a power of two)."""
 
@@ -84,14 +95,14 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (s1, s2) and the prefix of the set in global order."""
+    """doc_id, n_shingles, the set's digest (s1, s2), the prefix of the set in global order, its parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # SKETCH bytes
 
     def make():
         hashes = WordHash()
 
         def run(texts: list[bytes | None]):
-            n, s1, s2, prefix = [], [], [], []
+            n, s1, s2, prefix, maps = [], [], [], [], []
             for text in texts:
                 own = shingles(text, k, hashes)
                 size = len(own)
@@ -101,12 +112,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFr
                 s2.append(int(m2.sum(dtype=np.uint64).view(np.int64)) if size else None)
                 order = np.lexsort((own, shared.value[_slot(own)]))[: size - (percent * size + 99) // 100 + 1]
                 prefix.append(own[order].view(np.int64) if size else np.empty(0, np.int64))
-            return n, s1, s2, pa.array(prefix, pa.list_(pa.int64()))
+                maps.append(parity(own))
+            return n, s1, s2, pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))
 
         return run
 
     long = T.LongType()
-    fields = [T.StructField("n_shingles", long), T.StructField("s1", long), T.StructField("s2", long), T.StructField("prefix", T.ArrayType(long))]
+    fields = [T.StructField("n_shingles", long), T.StructField("s1", long), T.StructField("s2", long), T.StructField("prefix", T.ArrayType(long)), T.StructField("parity", T.ArrayType(long))]
     return with_text_columns(docs, "text", make, fields, ["doc_id"], as_bytes=True)
 
 
@@ -137,8 +149,8 @@ def whole_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of ``edges`` (a, b).
 
-    Rounds of large-star and small-star; each is two joins on partial aggregates, and a hub's
-    rows can be split."""
+    Rounds of large-star and small-star, until each node has one edge, to a node that has none of its
+    own; each is two joins on partial aggregates, and a hub's rows can be split."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b"), F.col("a")))
@@ -148,16 +160,15 @@ def components(edges: DataFrame) -> DataFrame:
         out = both.join(least, "u").where("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.unionAll(least.where("u <> m").select("u", "m"))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b")
 
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = None
-    while True:
-        current = written(star(star(current, True), False), "star")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+    done = False
+    while not done:
+        current = written(star(star(current, True), False).distinct(), "star")
+        ends = current.selectExpr("a AS u", "1 AS below", "0 AS above").unionAll(current.selectExpr("b", "0", "1"))
+        ends = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        done = ends.agg(F.count_if(F.expr("below > 1 OR below * above > 0"))).first()[0] == 0
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(current.select(F.col("b"), F.col("b")).distinct())
 
 
@@ -169,6 +180,13 @@ def _room(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     )
 
 
+def _overlap(na: str, xa: str, nb: str, xb: str, percent: int) -> Column:
+    """Whether sets of these sizes and parity maps can be linked: they share at most half of what is left
+    of both sizes without the bits in which the maps differ."""
+    differ = " + ".join(f"bit_count({xa}[{i}] ^ {xb}[{i}])" for i in range(PARITY))
+    return F.expr(f"{100 + percent} * ({na} + {nb} - ({differ})) >= {2 * percent} * ({na} + {nb})")
+
+
 def _filter_words(nodes: Column, pairs: DataFrame) -> DataFrame:
     """w, bits: a bit filter of ``nodes``, of FILTER / 64 rows at most."""
     bit = F.pmod(F.xxhash64(nodes), F.lit(FILTER))
@@ -197,6 +215,11 @@ def _linked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) ->
     return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
 
 
+def _with_links(classes: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is known to be connected, and ``found``."""
+    return found if classes is None else classes.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found)
+
+
 def _head_pairs(live: DataFrame, turn: int, percent: int, tried: DataFrame | None) -> DataFrame:
     """Pairs (a < b) of entries with heads of their own and neighbouring blocks of a list.
 
@@ -223,15 +246,15 @@ def _open_lists(live: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(still, "h").select(*live.columns)
 
 
-def _crossing(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of entries of a list with different classes that could be linked."""
+def _crossing(live: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of entries of a list with different classes that could be linked; ``maps`` has node, parity."""
     by_class = live.groupBy("h", "label").agg(F.count("*").alias("m"))
     largest = by_class.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
-    known = live.join(largest, "h")
-    x = known.where("label <> largest").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")))
-    y = known.select("h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "largest")))
+    known = live.join(maps, "node").join(largest, "h")
+    x = known.where("label <> largest").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label", "parity")))
+    y = known.select("h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "parity", "largest")))
     crossing = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
-    rest = x.join(y, "h").where(crossing & _room("x_n", "x_pos", "y_n", "y_pos", percent))
+    rest = x.join(y, "h").where(crossing & _room("x_n", "x_pos", "y_n", "y_pos", percent) & _overlap("x_n", "x_parity", "y_n", "y_parity", percent))
     return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
@@ -253,7 +276,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     live = written(entries.join(company.select("h", "b"), ["h", "b"]).withColumn("label", F.col("node")), "lists")
     sets = written(whole_sets(docs, k, live.select("node").distinct()), "whole")
 
-    classes = links = tried = None
+    classes = tried = None
     for turn in range(ROUNDS):
         pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
         found = written(_linked(pairs, rows, sets, percent), "links")
@@ -262,13 +285,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
             break
         if found.isEmpty():
             continue
-        links = found if links is None else links.unionAll(found)
-        classes = written(components(links), "classes")
+        classes = written(components(_with_links(classes, found)), "classes")
         live = written(_open_lists(live, classes), "lists")
-    rest = written(_crossing(live, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    maps = rows.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "parity", "s1", "s2").distinct().drop("s1", "s2")
+    rest = written(_crossing(live, maps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(rest, rows, sets, percent), "links")
     if not more.isEmpty():
-        classes = components(more if links is None else links.unionAll(more))
+        classes = components(_with_links(classes, more))
     if classes is None:
         classes = reps.select("node", F.col("node").alias("label")).limit(0)
 
