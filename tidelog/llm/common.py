@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For the length of a job: shuffle files go when it ends; an Arrow batch, held by JVM and Python at once, has few texts.
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 #: Rows of an Arrow batch that are held as Python objects at once.
 SLICE = 64
 #: Entries of a per-task memo of words; a full memo starts anew.
@@ -37,18 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Settings that keep the jobs started inside small on disk and in memory."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage.
 
     Its shuffle files go as soon as it is written, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with lean(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

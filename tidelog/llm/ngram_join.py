@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import WordHash, mixed, name, slices, windows, with_text_columns, written
+from tidelog.llm.common import WordHash, lean, mixed, name, slices, windows, with_text_columns, written
 
 #: Counters of the frequency sketch.
 SKETCH = 1 << 19
@@ -87,7 +87,8 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
 
     schema = "chunk int, task int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema).groupBy("chunk", "task").applyInPandas(added, schema).groupBy("chunk").applyInPandas(added, schema)
-    rows = sorted((r.chunk, bytes(r.counts)) for r in parts.collect())  # SKETCH counters
+    with lean(docs.sparkSession):
+        rows = sorted((r.chunk, bytes(r.counts)) for r in parts.collect())  # SKETCH counters
     seen = np.concatenate([np.frombuffer(b, np.uint32) for _, b in rows]).astype(np.float64) if rows else np.zeros(SKETCH)
     usual = np.median(seen)
     over = seen - (usual + 6 * np.sqrt(usual) + 8)
