@@ -204,9 +204,9 @@ def _needed(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return hit.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "node"))
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: by what their prefixes leave possible, then by whole sets."""
-    prefix = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix")
+    prefix = nodes.select("node", "n", "prefix")
     both = pairs.join(_needed(prefix, pairs, "b"), "b").join(_needed(prefix, pairs, "a"), "a")
     # common shingles that are not in both prefixes lie beyond the end of one of them
     most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
@@ -266,7 +266,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     reps = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     # one row a distinct set; its prefix comes from the row of the smallest id
     nodes = rows.where("n_shingles > 0").join(reps.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "s1", "s2"])
-    postings = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    nodes = written(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), "prefix", "parity"), "nodes")
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     block = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
     entries = written(postings.join(shared, "h").withColumn("b", block), "entries")
@@ -280,7 +281,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     classes = tried = None
     for turn in range(ROUNDS):
         pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
-        found = written(_linked(pairs, rows, sets, percent), "links")
+        found = written(_linked(pairs, nodes, sets, percent), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if turn and found.isEmpty():
             break
@@ -288,9 +289,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
             continue
         classes = written(components(_with_links(classes, found)), "classes")
         live = written(_open_lists(live, classes), "lists")
-    maps = rows.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "parity", "s1", "s2").distinct().drop("s1", "s2")
-    rest = written(_crossing(live, maps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(_linked(rest, rows, sets, percent), "links")
+    rest = written(_crossing(live, nodes.select("node", "parity"), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = written(_linked(rest, nodes, sets, percent), "links")
     if not more.isEmpty():
         classes = components(_with_links(classes, more))
     if classes is None:
