@@ -14,8 +14,8 @@ tells frequent shingles from others.  Any order gives the same links; this one k
   neighbouring blocks.  Sets that are linked to a head share its class, and pairs within a class
   are known to be connected and never formed.  A list whose sets all have one class is
   skipped whole.  ``ROUNDS`` of other heads follow; then the sets outside a list's largest class
-  are compared with all sets of other classes in it.  There a parity map of each set bounds how much
-  two sets can share, so that sets that only meet by chance are never paired.
+  are compared with all sets of other classes in it.  Throughout, a parity map of each set bounds how
+  much two sets can share, so that most sets that only meet by chance are compared no further.
 
 Candidates are verified on whole sets.  Classes are connected components of the links.
 
@@ -204,6 +204,13 @@ def _needed(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return hit.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "node"))
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be linked by their sizes and parity maps, which are far smaller than prefixes."""
+    maps = nodes.select("node", "n", "parity")
+    both = pairs.join(_needed(maps, pairs, "b"), "b").join(_needed(maps, pairs, "a"), "a")
+    return both.where(_overlap("n_a", "parity_a", "n_b", "parity_b", percent)).select("a", "b").distinct()
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: by what their prefixes leave possible, then by whole sets."""
     prefix = nodes.select("node", "n", "prefix")
@@ -281,7 +288,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     classes = tried = None
     for turn in range(ROUNDS):
         pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
-        found = written(_linked(pairs, nodes, sets, percent), "links")
+        possible = written(_possible(pairs, nodes, percent), "possible")
+        found = written(_linked(possible, nodes, sets, percent), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if turn and found.isEmpty():
             break
