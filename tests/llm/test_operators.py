@@ -33,6 +33,24 @@ def test_op1_regions_and_blocks(spark):
     assert html_main.extract(none_of(pages), keep=["page_id"]).count() == 0
 
 
+def test_op1_markup_is_only_a_label(spark):
+    prose = "".join(f"<p>Sentence {i} of the story goes on for a while.</p>" for i in range(30))
+    nav = "<nav><ul>" + "<li><a href=x>Link</a></li>" * 5 + "</ul></nav>"
+    want = "Title\n" + "\n".join(f"Sentence {i} of the story goes on for a while." for i in range(30))
+    page = f"<body>{nav}<div class='ad'>Buy this now.</div><article><h1>Title</h1>{prose}</article><footer>(c) us</footer></body>"
+    weight = html_main.learn(spark.createDataFrame([(page,)], "html string"))
+    for html in (
+        page,
+        page.replace("article>", "div>"),  # without the markup the scan finds the same
+        page.replace("<article>", "<div class='layout with-sidebar'><article>").replace("</article>", "</article><aside>Side note</aside></div>"),
+        page.replace("<article>", "<div><main></main>").replace("</article>", "</div>"),  # an empty label decides nothing
+        page.replace("<p>Sentence 9 ", "<div class='share'>Share me</div><p>Sentence 9 "),
+    ):
+        assert html_main.main_text(html, weight) == want
+    boxed = "<body><article><p>Ad</p></article><div><h1>Title</h1>" + prose + "</div></body>"
+    assert want in html_main.main_text(boxed, weight)
+
+
 def test_op2_held_out_accuracy(spark, docs, odd):
     d = docs.withColumn("held", langid.held_out())
     out = langid.predict(d, langid.fit(d.where("NOT held"), per_lang=60), keep=["doc_id", "lang", "held"])

@@ -1,13 +1,15 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags.  Words score by their context (the nearest block element
-and whether they are in a link), tags score negative, both with weights learned from labelled
-pages: pages whose markup names their content (``article``, ``main``) say which words and tags
-are inside.  A linear scan finds the contiguous region of the greatest sum; its blocks are the text.
+and whether they are in a link) and by the nearest mark around them, tags score negative.  A mark is
+a tag, role, class or id name that tells against content (navigation, forms, comments, ...).
+Weights are learned from labelled pages: pages whose markup names their content
+(``article``, ``main``) say which words and tags are inside.  Those names are labels only; every
+page is scored alike.  A linear scan finds the contiguous region of the greatest sum; its
+blocks are the text, without words whose mark weighs ``DROPPED`` or less or was never seen.
 
-Elements that are never content (navigation, forms, scripts, ...), by tag, role or class, are
-left out.  Inside an element that names the content they are passed over; outside
-they end a region as any negative stretch does.
+A class or id name on an element with more than half of the page's words, and its ``h1`` if it has
+one, is that of a wrapper and no mark.  Scripts, styles and hidden elements are not text.
 
 Null html gives empty text and 0 characters, as does a page without words.  Unclosed and
 misnested markup is read as far as it goes; an element ends with the one around it.
@@ -31,7 +33,10 @@ from tidelog.llm.common import name, slices, with_text_columns
 RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "textarea", "xmp", "noembed", "noframes"}
 NEVER = RAW | {"head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "label", "fieldset", "input", "audio", "video", "map", "embed"}
 CONTENT = {"article", "main"}
+SECTIONS = CONTENT | {"section"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "tt", "u", "var", "time", "data", "ruby", "rt", "rp", "wbr", "br", "picture", "source"}
+#: Elements whose tags do not score: a content element's name is a label, no evidence.
+SILENT = INLINE | CONTENT
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that a new one of their kind ends: p by any block, li by li, and so on.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,6 +48,9 @@ BOILERPLATE = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
+#: Score of a word under a mark that no labelled page has, and what a mark weighs for its words to be passed over.
+UNSEEN, DROPPED = -0.2, -1.0
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
@@ -50,50 +58,55 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 _CLOSE = {t: re.compile(rf"</{t}\s*/?>", re.I) for t in RAW | {"title"}}
 
 
-def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in NEVER or tag == "header" and not in_content:
-        return True
+def mark_of(tag: str, attributes: str, sectioned: bool) -> str | None:
+    """The name that tells against content, ``hidden``, or None."""
+    mark = f"tag:{tag}" if tag in NEVER or tag == "header" and not sectioned else None
     if not attributes or tag in ("html", "body"):
-        return False
+        return mark
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in BOILERPLATE for w in _NAME.findall(_CAMEL.sub(r"\1 \2", value))):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "hidden"
+        if mark is None and key == "role" and value.lower() in ROLES:
+            mark = f"role:{value.lower()}"
+        if mark is None and key in ("class", "id"):
+            mark = next((f"class:{w.lower()}" for w in _NAME.findall(_CAMEL.sub(r"\1 \2", value)) if w.lower() in BOILERPLATE), None)
+    return mark
 
 
 @dataclass
 class Page:
-    """kinds: for each event its token; words: how many (0: a tag); texts by event; block numbers."""
+    """kinds: for each event its token; words: how many (0: a tag); texts by event; block numbers; marks (or None).
+
+    inside: whether a content element holds the event; None where a mark within that element does."""
 
     kinds: list[str] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
-    inside: list[bool] = field(default_factory=list)
+    marks: list[str | None] = field(default_factory=list)
+    inside: list[bool | None] = field(default_factory=list)
     labelled: bool = False
 
 
 def parse(html: str) -> Page:
-    """The events of a page outside of boilerplate, and which lie in a content element."""
+    """The events of a page outside of hidden elements, their marks, and which lie in a content element."""
     page = Page()
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, boilerplate, content, context around
-    bad = content = links = block = 0
+    stack: list[tuple[str, bool, bool, int, str]] = []  # tag, hidden, content, marked element and context around
+    marked: list[list] = []  # name, marked element around, words, content elements around, whether it holds the h1
+    owners: list[int] = []  # by event: its marked element
+    hidden = content = links = block = sections = headings = 0
+    nearest = -1
     context = "body"
     at, n = 0, len(html)
 
     def pop() -> None:
-        nonlocal bad, content, links, context, block
-        tag, was_bad, was_content, context = stack.pop()
-        bad -= was_bad
+        nonlocal hidden, content, links, context, block, nearest, sections
+        tag, was_hidden, was_content, nearest, context = stack.pop()
+        hidden -= was_hidden
         content -= was_content
         links -= tag == "a"
+        sections -= tag in SECTIONS
         if tag not in INLINE:
             block += 1
 
@@ -102,7 +115,8 @@ def parse(html: str) -> Page:
         page.words.append(words)
         page.texts.append(text)
         page.blocks.append(block)
-        page.inside.append(content > 0)
+        page.inside.append(None if content and nearest >= 0 and marked[nearest][3] else content > 0)
+        owners.append(nearest)
 
     while at < n:
         m = _TOKEN.match(html, at)
@@ -114,7 +128,7 @@ def parse(html: str) -> Page:
             text = m[0]
             if text.startswith("<!") or text.startswith("<?"):
                 continue
-            if not bad:
+            if not hidden:
                 text = unescape(text)
                 if words := len(text.split()):
                     event(("link:" if links else "word:") + context, words, text)
@@ -126,38 +140,56 @@ def parse(html: str) -> Page:
             if any(s[0] == tag for s in stack):
                 while stack[-1][0] != tag:
                     pop()
+                if not hidden:
+                    event(f"/{tag}" if tag not in SILENT else "", 0, "")
                 pop()
-                if not bad:
-                    event(f"/{tag}" if tag not in INLINE else "", 0, "")
             continue
         if tag not in INLINE:
             ends = ENDS.get(tag, set()) | ({"p"} if tag not in VOID or tag == "hr" else set())
             while stack and (stack[-1][0] in ends or stack[-1][0] in INLINE and any(s[0] in ends for s in stack[-8:]) and stack[-1][0] != "a"):
                 pop()
             block += 1
-        in_content = content > 0
         if tag in RAW or tag == "title":
             end = _CLOSE[tag].search(html, at)
             at = end.end() if end else n
             continue
         if tag in VOID or m[3].endswith("/") and tag in INLINE:
-            if not bad:
+            if not hidden:
                 event(tag if tag not in INLINE else "", 0, " " if tag in ("br", "img", "wbr") and tag == "br" else "")
             continue
-        wrong = is_boilerplate(tag, m[3], in_content)
-        own = not bad and not wrong and (tag in CONTENT or 'role="main"' in m[3])
-        if not bad:
-            if wrong and not in_content:
-                event("cut", 0, "")
-            elif not wrong:
-                event(tag if tag not in INLINE else "", 0, "")
-        stack.append((tag, wrong, own, context))
-        bad += wrong
+        mark = mark_of(tag, m[3], sections > 0)
+        own = not hidden and mark is None and (tag in CONTENT or 'role="main"' in m[3])
+        stack.append((tag, mark == "hidden", own, nearest, context))
+        hidden += mark == "hidden"
         content += own
         links += tag == "a"
+        sections += tag in SECTIONS
         page.labelled |= own
+        if mark is not None and not hidden:
+            marked.append([mark, nearest, 0, content, False])
+            nearest = len(marked) - 1
+        if not hidden:
+            event(tag if tag not in SILENT else "", 0, "")
+        if tag == "h1" and not hidden:
+            headings += 1
+            around = nearest
+            while around >= 0:
+                marked[around][4] = True
+                around = marked[around][1]
         if tag not in INLINE:
             context = tag
+    for owner, words in zip(owners, page.words):
+        if owner >= 0:
+            marked[owner][2] += words
+    for i in range(len(marked) - 1, -1, -1):  # a marked element comes after the one around it
+        if marked[i][1] >= 0:
+            marked[marked[i][1]][2] += marked[i][2]
+    total = sum(page.words)
+    names: list[str | None] = []
+    for mark, around, words, _, heading in marked:
+        wrapper = mark.startswith("class:") and 2 * words > total and (heading or not headings)
+        names.append((names[around] if around >= 0 else None) if wrapper else mark)
+    page.marks = [names[i] if i >= 0 else None for i in owners]
     return page
 
 
@@ -175,18 +207,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def scores_of(page: Page, weight: dict[str, float]) -> list[float]:
     out = []
-    for kind, words, inside in zip(page.kinds, page.words, page.inside):
+    for kind, words, mark in zip(page.kinds, page.words, page.marks):
         if not kind:
             out.append(0.0)
-        elif kind == "cut":
-            out.append(-3.0)
         elif words:
             w = weight.get(kind, -0.5 if kind.startswith("link:") else 0.5)
-            if page.labelled:  # the page itself says where its content is
-                w = abs(w) + 0.5 if inside else -abs(w) - 0.5
-            out.append(w * words)
-        else:
-            out.append(0.0 if page.labelled and inside else weight.get(kind, -0.2))
+            out.append((w if not mark else w + weight[mark] if mark in weight else UNSEEN) * words)
+        else:  # under a mark the words tell, not the tags
+            out.append(0.0 if mark else weight.get(kind, -0.2))
     return out
 
 
@@ -197,14 +225,14 @@ def main_text(html: str | None, weight: dict[str, float]) -> str:
     start, end = best_region(scores_of(page, weight))
     blocks: dict[int, list[str]] = {}
     for i in range(start, end):
-        if page.texts[i] and (page.inside[i] or not page.labelled):
+        if page.texts[i] and (page.marks[i] is None or weight.get(page.marks[i], DROPPED) > DROPPED):
             blocks.setdefault(page.blocks[i], []).append(page.texts[i])
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
 def learn(df: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights from all labelled pages of ``df``: log-odds of each kind of word, at most 0 for tags.
+    """Weights from all labelled pages of ``df``: log-odds of each kind of word, at most 0 for tags and marks.
 
     Kinds are known element names, so there are a few hundred at most."""
     known = INLINE | NEVER | CONTENT | VOID | set(ENDS) | {"body", "html", "div", "p", "section", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "blockquote", "pre", "figure", "figcaption", "header", "address", "details", "summary", "center", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption"}
@@ -217,9 +245,13 @@ def learn(df: DataFrame, html_col: str = "html") -> dict[str, float]:
                     page = parse(html) if html else None
                     if page is None or not page.labelled:
                         continue
-                    for kind, words, inside in zip(page.kinds, page.words, page.inside):
+                    for kind, words, mark, inside in zip(page.kinds, page.words, page.marks, page.inside):
+                        if inside is None:
+                            continue
+                        if mark and words:
+                            counts.setdefault(mark, [0, 0])[inside] += words
                         tag = kind.rpartition(":")[2].lstrip("/")
-                        if kind and kind != "cut":
+                        if kind and not (mark and words):  # a marked word tells of its mark alone
                             own = counts.setdefault(kind if tag in known else kind.replace(tag, "other"), [0, 0])
                             own[inside] += max(words, 1)
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["kind", "inside", "outside"])
@@ -227,10 +259,15 @@ def learn(df: DataFrame, html_col: str = "html") -> dict[str, float]:
     rows = df.select(name(html_col)).mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     total_in = sum(r.i for r in rows) + 1
     total_out = sum(r.o for r in rows) + 1
+    prior = total_in / (total_in + total_out)  # a kind never seen has even odds
+    marks = ("tag:", "role:", "class:")
     weight = {}
     for r in rows:
-        odds = float(np.clip(np.log((r.i + 1) / total_in) - np.log((r.o + 1) / total_out), -2, 2))
-        if ":" in r.kind:  # words score positive in content; link words never do
+        raw = np.log((r.i + prior) / total_in) - np.log((r.o + 1 - prior) / total_out)
+        odds = float(np.clip(raw, -2, 2))
+        if r.kind.startswith(marks):
+            weight[r.kind] = float(np.clip(raw, -4, 0))
+        elif ":" in r.kind:  # words score positive in content; link words never do
             weight[r.kind] = min(odds, -0.2) if r.kind.startswith("link:") else (odds if r.o > r.i else max(odds, 0.2))
         else:
             weight[r.kind] = min(odds, 0.0) - 0.1
