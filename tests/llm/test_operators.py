@@ -122,6 +122,35 @@ def test_op5_round_trip_and_best_path(spark, docs, odd):
         assert abs(sum(v.byte_score if i in v.byte_of else v.piece[v.text[i]][1] for i in ids) - brute(text)) < 1e-6
 
 
+def test_op5_ids_of_the_library(spark, docs):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_proto=open(PIECES, "rb").read())
+    extra = spark.createDataFrame([(-1, "Elle  a   b\n\t日本語😀 é"), (-2, "supercalifragilistic" * 50), (-3, " " * 100 + "x" * 200), (-4, "nandaire" * 9)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionAll(extra)
+    texts = {r.doc_id: r.text for r in df.collect() if r.text is not None and "▁" not in r.text}
+    got = {r.doc_id: r.ids for r in pieces.encode(df, PIECES, keep=["doc_id"]).collect()}
+    assert all(got[i] == own.encode(t) for i, t in texts.items() if t)
+
+
+def test_op5_words_by_brute_force():
+    names = ["a", "b", "ab", "ba", "aba", "abab", "bb"]
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        scores = [float(x) for x in rnd.integers(-5, 0, len(names))]
+        v = pieces.Vocabulary([*names, *(f"<0x{b:02X}>" for b in range(256))], scores + [0.0] * 256, [True] * 7 + [False] * 256, True)
+        best = pieces.Vocabulary(*[[*names, *(f"<0x{b:02X}>" for b in range(256))], scores + [0.0] * 256, [True] * 7 + [False] * 256])
+        for n in (1, 2, 9, 64, 65, 200):
+            word = "".join(rnd.choice(list("abbaé"), n))
+            parts = list(word)
+            while pairs := [(-v.piece[parts[i] + parts[i + 1]][1], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in v.piece]:
+                at = min(pairs)[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            assert pieces.merged(word, v) == tuple(x for p in parts for x in ((v.piece[p][0],) if p in v.piece else v.fallback(p)[0]))
+            value = lambda ids: sum(best.byte_score if i in best.byte_of else best.piece[best.text[i]][1] for i in ids)
+            assert abs(value(pieces.short_path(word, best)) - value(pieces.stream(word, best))) < 1e-6
+
+
 def test_op6_pseudonyms(spark, odd):
     text = "card 4111 1111 1111 1111, 4111-1111-1111-1112; 10.0.0.255 a@b.com +1 (386) 555-3733 1999-12-31 2020-02-30 31/12/1999 123-45-6789"
     df = spark.createDataFrame([(1, text), (2, f"x {text}"), (3, None), (4, "clean 42")], "doc_id long, text string")

@@ -1,12 +1,17 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search.
+"""SentencePiece encoding and decoding, with the identifiers that the model's own algorithm gives.
 
-The search keeps the best path to each of the last positions, as many as the longest
+A BPE model encodes by merges: of all neighbours whose union is a piece, those of the best score
+are joined first, the leftmost of equals, until none are left.  No path of best score gives that.
+Identifiers are committed word by word where no piece crosses a gap between words.
+
+A unigram model encodes by the path of best score, in a streaming Viterbi search.  It keeps the best path to each of the last positions, as many as the longest
 piece has characters, and commits identifiers as soon as all surviving paths go through
 one boundary.  Where no piece of the vocabulary crosses a gap between words, all paths
-meet there, so words are searched one by one and memoised.
+meet there, so words are searched one by one.  Either way words are memoised.
 
 A path's value is the sum of its pieces' scores; a character without a piece costs its
-UTF-8 bytes' pieces.  Ties go to the longer last piece.  ``U+2581`` in a text is written as
+UTF-8 bytes' pieces.  Ties go to the longer last piece.  In a BPE model too a
+character without a piece becomes its bytes.  ``U+2581`` in a text is written as
 bytes, so that decoding gives back every text exactly.
 
 Null text: null identifiers, 0 pieces.  Empty text: no identifiers.  Other columns pass.
@@ -15,10 +20,12 @@ Null text: null identifiers, 0 pieces.  Empty text: no identifiers.  Other colum
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,8 +43,9 @@ _LOOK = 64
 class Vocabulary:
     """Pieces and scores of a model; the space mark is held as a plain space."""
 
-    def __init__(self, pieces: list[str], scores: list[float], plain: list[bool]):
-        """plain: false for unknown, control and byte pieces."""
+    def __init__(self, pieces: list[str], scores: list[float], plain: list[bool], merges: bool = False):
+        """plain: false for unknown, control and byte pieces; merges: a BPE model."""
+        self.merges = merges
         self.text = [p.replace("▁", " ") for p in pieces]
         self.byte_of = {i: int(m[1], 16) for i, p in enumerate(pieces) if not plain[i] and (m := _BYTE.fullmatch(p))}
         self.of_byte = {b: i for i, b in self.byte_of.items()}
@@ -56,10 +64,13 @@ class Vocabulary:
     @classmethod
     def load(cls, model: bytes) -> "Vocabulary":
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+        bpe = proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids = range(m.get_piece_size())
-        return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], [not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i)) for i in ids])
+        return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], [not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i)) for i in ids], bpe)
 
     def fallback(self, char: str) -> tuple[tuple[int, ...], float]:
         own = char.encode()
@@ -152,6 +163,45 @@ def short_path(word: str, v: Vocabulary) -> tuple[int, ...]:
     return tuple(out) if not any(isinstance(i, tuple) for i in out) else tuple(chain.from_iterable(i if isinstance(i, tuple) else (i,) for i in out))
 
 
+def merged(word: str, v: Vocabulary) -> tuple[int, ...]:
+    """The identifiers of a BPE model: the best pair first, the leftmost of equals."""
+    parts = list(word)
+    if len(parts) <= 64:
+        get, none = v.piece.get, (0, -np.inf)
+        values = [get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
+        while values and (best := max(values)) > -np.inf:
+            at = values.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = get(parts[at - 1] + parts[at], none)[1]
+            if at < len(values):
+                values[at] = get(parts[at] + parts[at + 1], none)[1]
+    else:
+        parts = _merged_long(parts, v)
+    return tuple(chain.from_iterable((v.piece[p][0],) if p in v.piece else v.fallback(p)[0] for p in parts))
+
+
+def _merged_long(parts: list[str], v: Vocabulary) -> list[str]:
+    """The same merges by a queue: a part that has been joined to the one before it is empty."""
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(-found[1], i, i + 1, parts[i] + parts[i + 1]) for i in range(n - 1) if (found := v.piece.get(parts[i] + parts[i + 1]))]
+    heapify(queue)
+    while queue:
+        _, i, j, both = heappop(queue)
+        if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != both:
+            continue
+        parts[i], parts[j] = both, ""
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (found := v.piece.get(parts[a] + parts[b])):
+                heappush(queue, (-found[1], a, b, parts[a] + parts[b]))
+    return [p for p in parts if p]
+
+
 class Encoder(dict):
     """Memo from a word to its identifiers."""
 
@@ -162,8 +212,8 @@ class Encoder(dict):
         if len(self) >= WORDS:
             self.clear()
         if len(word) > 64:
-            return tuple(stream(word, self.v))
-        ids = self[word] = short_path(word, self.v)
+            return merged(word, self.v) if self.v.merges else tuple(stream(word, self.v))
+        ids = self[word] = merged(word, self.v) if self.v.merges else short_path(word, self.v)
         return ids
 
     def __call__(self, text: str) -> list[int]:
