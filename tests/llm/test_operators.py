@@ -239,6 +239,32 @@ def test_op10_counts_and_fences(spark, docs, odd):
     assert abs(f.low_word_length - (250 - 500)) < 15 and abs(f.high_word_length - (750 + 500)) < 25
 
 
+def test_op10_small_groups_meet_fences(spark, docs):
+    prose = lambda i: " ".join(f"word{(i * 7 + j) % 97}" for j in range(40))
+    junk = " ".join(f"## x{j} $$" for j in range(60))
+    rows = [(i, prose(i), "en", "big") for i in range(30)] + [(100 + i, prose(i), "en", f"s{i}") for i in range(3)] + [(200, junk, "en", "s0"), (201, junk, "xx", None), (202, prose(5), None, "t")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == {200, 201}
+    # the whole verdict against exact quantiles, with slack for the sketch's error
+    out = quality.judge(docs).collect()
+    value = lambda r, k: getattr(r, quality.MEASURES[k][0]) / r.n_words
+    small = 0
+    for r in (r for r in out if not r.base_failed):
+        near = [o for o in out if o.n_words and (o.lang, o.source) == (r.lang, r.source)]
+        small += len(near) < 20
+        near = near if len(near) >= 20 else [o for o in out if o.n_words and o.lang == r.lang]
+        near = near if len(near) >= 20 else [o for o in out if o.n_words]
+        inside, sure = True, True
+        for k, (_, slack) in quality.MEASURES.items():
+            v = sorted(value(o, k) for o in near)
+            q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+            reach, error = max(3 * (q3 - q1), slack), 0.1 * (q1 + q3) + 1e-9
+            inside &= q1 - reach <= value(r, k) <= q3 + reach
+            sure &= min(abs(value(r, k) - q1 + reach), abs(value(r, k) - q3 - reach)) > error
+        assert not sure or r.kept == inside
+    assert small > 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

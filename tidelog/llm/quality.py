@@ -8,7 +8,9 @@ rules and no measure lies beyond its group's fences, ``reach`` interquartile ran
 least ``slack``) outside the quartiles.
 
 Null language or source forms a group of its own.  Null and empty texts have no words and fail
-the fixed rules.  A group of fewer than ``least`` documents sets no fences.
+the fixed rules.  A group of fewer than ``least`` documents with words is measured by the fences of
+its language over all sources, and a language of fewer by those of all rows, whatever
+their number.
 """
 
 from __future__ import annotations
@@ -95,6 +97,23 @@ def fences(sketch: DataFrame, groups: list[str], reach: float, least: int) -> Da
     return q.groupBy(*groups).agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("low", "high")))
 
 
+def all_fences(sketch: DataFrame, reach: float, least: int) -> DataFrame:
+    """Fences for every (language, source): its own, or its language's, or those of all rows."""
+    lang, groups = ["lang_null", "lang_key"], ["lang_null", "lang_key", "source_null", "source_key"]
+    columns = [f"{side}_{k}" for k in MEASURES for side in ("low", "high")]
+    merged = lambda by: sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = merged([]).withColumn("every", F.lit(1))
+    levels = [
+        (fences(sketch, groups, reach, least), groups, "own"),
+        (fences(merged(lang), lang, reach, least), lang, "lang"),
+        (fences(whole, ["every"], reach, 1), ["every"], "all"),
+    ]
+    out = sketch.select(*groups).distinct().withColumn("every", F.lit(1))
+    for limits, by, level in levels:
+        out = out.join(limits.select(*by, *(F.col(c).alias(f"{level}_{c}") for c in columns)), by, "left")
+    return out.select(*groups, *(F.coalesce(*(f"{level}_{c}" for _, _, level in levels)).alias(c) for c in columns))
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: float = 3.0, least: int = 20) -> DataFrame:
     """Counts, base_failed and kept for each row."""
     narrow = df.select(name(id_col).alias("doc_id"), name(text_col).alias("text"), name(lang_col).alias("lang"), name(source_col).alias("source"))
@@ -105,7 +124,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         "*", F.col("lang").isNull().alias("lang_null"), F.coalesce("lang", F.lit("")).alias("lang_key"),
         F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"),
     )
-    limits = fences(sketches(keyed, groups), groups, reach, least)
+    limits = all_fences(sketches(keyed, groups), reach, least)
     # a hot source's rows go to SALT places, and its one row of fences to each of them
     limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALT)).cast("int"))
