@@ -217,6 +217,16 @@ def test_op9_brute_force(spark, docs, odd):
     assert decontam.clean(odd, b).count() == 6 and decontam.find_leaks(docs, none_of(b)).count() == 0
 
 
+def test_op9_slices_change_nothing(spark):
+    base = [f"q{i}" for i in range(40)]
+    items = [(i, " ".join(base[:20] + [f"own{i}x{j}" for j in range(10)])) for i in range(6)] + [(10, "other " + " ".join(f"z{i}" for i in range(30))), (11, None)]
+    texts = [(i, " ".join(base[: 20 - i] + [f"gone{i}x{j}" for j in range(i)] + [f"own{i % 6}x{j}" for j in range(10)])) for i in range(8)]
+    texts += [(20, " ".join(base[:20] + [f"own2x{j}" for j in range(8)] + ["u", "v"]))]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.find_leaks(d, b).collect()))
+    assert one and one == sorted(map(tuple, decontam.find_leaks(d, b, slice_items=1).collect()))
+
+
 def test_op10_counts_and_fences(spark, docs, odd):
     def brute(text):
         words = re.findall("[^\x20\x09-\x0d]+", text or "")

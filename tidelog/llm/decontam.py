@@ -11,8 +11,9 @@ are verified by exact weighted Jaccard similarity, ``least`` or more.
 Windows whose shingles cannot add up to ``least`` of any item of that size are not
 fingerprinted: that bound is exact, and leaves out nearly all clean text.
 
-Items go to the tasks in slices of at most ``slice_items``, one pass over the documents each, so what
-is broadcast is bounded.  Null and empty documents and items match nothing.  A document that
+Items go to the tasks in slices of about ``slice_items``, one pass over the documents each.  Weights are
+counted over the whole benchmark; a slice gets those of its own shingles and of all that two items or more
+have (any other shingle weighs as an unseen one), so slices change no result.  Null and empty documents and items match nothing.  A document that
 occurs twice gets its rows twice; extra columns do not matter.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import WordHash, mixed, name, slices, windows, with_text_columns
+from tidelog.llm.common import WordHash, mixed, name, slices, windows, with_text_columns, written
 
 _WORDS = re.compile(r"\w+").findall
 _BITS = np.arange(64, dtype=np.uint64)
@@ -76,13 +77,12 @@ class Item:
 class Items:
     """The items of one slice by size, with block indexes over their fingerprints."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], k: int, least: float, radius: int, hashes: WordHash):
+    def __init__(self, rows: list[tuple[int, str | None]], k: int, least: float, radius: int, hashes: WordHash, counts: dict[int, int], n: int):
+        """counts: items with a shingle, n: items, both of the whole benchmark."""
         self.k, self.least, self.radius, self.hashes = k, least, radius, hashes
         own = [(i, w) for i, t in rows if i is not None and len(w := words_of(t, hashes))]
         shingled = [(i, len(w), windows(w, min(k, len(w)))) for i, w in own]
-        seen = Counter(s for _, _, sh in shingled for s in set(sh.tolist()))
-        n = max(len(own), 1)
-        self.weight = {s: float(np.log(1 + n / c)) for s, c in seen.items()}
+        self.weight = {s: float(np.log(1 + n / c)) for s, c in counts.items()}
         self.default = float(np.log(1 + n))
         self.known = np.sort(np.fromiter(self.weight, np.uint64, len(self.weight)))
         self.known_weight = np.array([self.weight[s] for s in self.known.tolist()])
@@ -159,13 +159,43 @@ class Items:
         return best
 
 
-def item_slices(benchmark: DataFrame, item_col: str, item_text: str, slice_items: int) -> list:
-    """Broadcasts of the items, about ``slice_items`` at most in each."""
+def item_slices(benchmark: DataFrame, item_col: str, item_text: str, slice_items: int, k: int) -> list:
+    """Broadcasts of the items, about ``slice_items`` in each, with the counts that their weights need."""
     items = benchmark.select(name(item_col).cast("long").alias("i"), name(item_text).alias("t"))
     n = -(-max(items.count(), 1) // slice_items)
+    items = items.withColumn("s", F.coalesce(F.pmod(F.xxhash64("i"), F.lit(n)), F.lit(0)).cast("int"))
+
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            for piece in slices(batch):
+                s, h = [], []
+                for t, own in zip(*map(pa.Array.to_pylist, piece.columns)):
+                    words = words_of(t, hashes)
+                    if len(words):
+                        found = np.unique(windows(words, min(k, len(words)))).view(np.int64).tolist()
+                        h += [None, *found]  # the null counts the item
+                        s += [own] * (len(found) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(h, pa.int64())], ["s", "h"])
+
+    pairs = items.where("i IS NOT NULL").select("t", "s").mapInArrow(run, "s int, h long")
+    counts = pairs.groupBy("h").agg(F.count("*").alias("c"), F.collect_set("s").alias("slices"))
+    counts = written(counts, "shingles") if n > 1 else counts
     context = benchmark.sparkSession.sparkContext
-    parts = (items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == s) for s in range(n))
-    return [context.broadcast([(r.i, r.t) for r in part.orderBy("i", "t").collect()]) for part in parts]
+    out = []
+    for s in range(n):
+        own = counts.where(F.col("h").isNull() | (F.col("c") > 1) | F.array_contains("slices", s)).select("h", "c").toArrow()
+        own = own.combine_chunks()
+        whole = own.filter(own["h"].is_null())["c"].to_pylist()
+        own = own.filter(own["h"].is_valid())
+        rows = [(r.i, r.t) for r in items.where(F.col("s") == s).orderBy("i", "t").collect()]
+        out.append(context.broadcast((rows, own["h"].to_numpy().view(np.uint64), own["c"].to_numpy(), max(sum(whole), 1))))
+    return out
+
+
+def items_of(shared, k: int, least: float, radius: int) -> Items:
+    rows, known, counts, n = shared.value
+    return Items(rows, k, least, radius, WordHash(), dict(zip(known.tolist(), counts.tolist())), n)
 
 
 def find_leaks(
@@ -177,7 +207,7 @@ def find_leaks(
 
     def one(rows) -> DataFrame:
         def run(batches):
-            own = Items(rows.value, k, least, radius, WordHash())
+            own = items_of(rows, k, least, radius)
             for batch in batches:
                 for piece in slices(batch):
                     out = [(d, i, *found) for d, t in zip(*map(pa.Array.to_pylist, piece.columns)) for i, found in sorted(own.matches(t).items())]
@@ -186,7 +216,7 @@ def find_leaks(
 
         return source.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionAll, map(one, item_slices(benchmark, item_col, item_text, slice_items)))
+    return reduce(DataFrame.unionAll, map(one, item_slices(benchmark, item_col, item_text, slice_items, k)))
 
 
 def clean(
@@ -194,10 +224,10 @@ def clean(
     k: int = 5, least: float = 0.8, radius: int = 20, slice_items: int = 20_000,
 ) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; texts are read in place."""
-    for rows in item_slices(benchmark, item_col, item_text, slice_items):
+    for rows in item_slices(benchmark, item_col, item_text, slice_items, k):
 
         def make(rows=rows):
-            own = Items(rows.value, k, least, radius, WordHash())
+            own = items_of(rows, k, least, radius)
             return lambda texts: [[bool(own.matches(t)) for t in texts]]
 
         docs = with_text_columns(docs, text_col, make, [T.StructField("__leak", T.BooleanType())]).where("NOT __leak").drop("__leak")
