@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own."""
+    Only a local session without that setting (a test) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir: no folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -52,15 +54,33 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, paths: dict | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage.
 
-    Its shuffle files go as soon as it is written, not when the driver next collects garbage."""
+    Its shuffle files go as soon as it is written, not when the driver next collects garbage.
+    ``paths`` gets its place."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with lean(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if paths is not None:
+        paths[id(out)] = path, out
+    return out
+
+
+class Scratch:
+    """Tables in the shared folder that can be dropped as soon as no step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, tag: str) -> DataFrame:
+        return written(df, tag, self.paths)
+
+    def drop(self, df: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[0])
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def name(column: str):

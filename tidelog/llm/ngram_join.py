@@ -1,51 +1,45 @@
-"""N-gram Jaccard join with set relations: skipped list blocks, answers taken from similar sets.
-
-A document is the set of its distinct ``k``-word shingles, as 64-bit digests in one global order,
-rare ones first.  Two sets of similarity ``t`` (in percent) or more share a shingle in their prefixes, so
-only prefixes are indexed.  The order needs frequencies: a count sketch of fixed size over all texts
-tells frequent shingles from others.  Any order gives the same links; this one keeps lists short.
-
-* Equal sets are one node, by their digest, whatever the number of copies.
-* Index lists are skipped by position: a pair is a candidate only if the sizes and the
-  positions of a common shingle in both sets leave room for enough common shingles.
-* Lists are cut into blocks by size, so that only sets of one block or of neighbours can be
-  linked; a block without company is skipped.
-* Answers come from similar sets: each set is compared with one head of its own and of the
-  neighbouring blocks.  Sets that are linked to a head share its class, and pairs within a class
-  are known to be connected and never formed.  A list whose sets all have one class is
-  skipped whole.  ``ROUNDS`` of other heads follow; then the sets outside a list's largest class
-  are compared with all sets of other classes in it.  Throughout, a parity map of each set bounds how
-  much two sets can share, so that most sets that only meet by chance are compared no further.
-
-Candidates are verified on whole sets.  Classes are connected components of the links.
-
-Null, empty and blank texts have no shingles, no links, and their own id as class.  A text of
-fewer than ``k`` words is one shingle.  Rows that share an id are one document and get one class.
-Null ids are compared too; their class is that of the smallest id linked, null if none.
+"""N-gram Jaccard join with set relations: list blocks skipped by position, answers taken from a list's head.
+
+A document is the set of its distinct ``k``-word shingles, as 64-bit digests.  Equal sets are one node, by a
+digest of the set, whatever the number of copies.  Sets of similarity ``t`` (in percent) or more are linked.
+
+1. Live sets.  With any global order, the first ``n - ceil(t n) + l`` shingles of two linked sets of ``n`` share
+   ``l`` or more.  In the order of digests that leaves out every set whose beginning shares too few with others'.
+2. Order.  How many live sets have a shingle is counted exactly.  In the order of these counts, shingles of one
+   set alone come first, so a set's prefix reaches into the shared ones only if nearly all of it is shared.
+3. Index.  A shared shingle of a prefix is a list entry with its position.  Lists are cut into blocks by size.  An
+   entry probes the blocks in which a set is no larger than itself and, by the entry's position, leaves room for
+   the shingles that a link takes; all other blocks are skipped whole.
+4. Answers from similar sets.  In blocks of more than ``LONG`` entries, the entry of the least position (the set
+   with the least of its own) is the head, and every prober is compared with it.  Links to heads make classes.
+   Pairs within a class are known to be connected and never formed; a block of one class makes no pairs.  The
+   overlaps ``o`` with the head answer for the rest of the block: two sets share ``min(o, o') + min(n - o, n' - o')`` at most.
+5. The remaining candidates are verified on the whole sets.  Classes are connected components of the links.
+
+No step needs memory that grows with the input outside of Spark's shuffles; hot lists and hot sets meet in
+joins only, which Spark can split.
+
+Null, empty and blank texts have no shingles, no links, and their own id as class.  A text of fewer than ``k`` words
+is one shingle.  Each row is a document, also where rows repeat.  Null ids are compared too; their class is the
+smallest id linked, null if none.  An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import WordHash, lean, mixed, name, slices, windows, with_text_columns, written
+from tidelog.llm.common import Scratch, WordHash, mixed, name, windows, with_text_columns
 
-#: Counters of the frequency sketch.
-SKETCH = 1 << 19
-_CHUNK = 1 << 13
-#: Bits of the filter of documents whose sets are needed.
-FILTER = 1 << 23
-#: Turns of comparing each list's sets with heads, before the rest is compared; heads of a block in a turn.
-ROUNDS = 2
-HEADS = 8
-#: 64-bit words of a set's parity map.
-PARITY = 8
+#: Entries of a block above which its sets are first compared with its head.
+LONG = 16
+#: A live set shares one in so many of its shingles beyond what a prefix needs.
+MORE = 10
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -56,98 +50,42 @@ def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
     return np.unique(windows(hashes.of(words), min(k, len(words))))
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(40)).astype(np.int64) & (SKETCH - 1)
-
-
-def parity(own: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY slots, whether an odd number of the set's shingles fall into it.
-
-    Maps of two sets differ in no more bits than the sets differ in shingles."""
-    odd = np.bincount((own & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """For each slot of the sketch 0 if its shingles are rare, else how frequent (a power of two)."""
-
-    def count(batches):
-        hashes, seen = WordHash(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).cast(pa.binary()).to_pylist():
-                    np.add.at(seen, _slot(shingles(text, k, hashes)), 1)
-        group = TaskContext.get().partitionId() % 32
-        parts = [seen[i : i + _CHUNK].astype(np.uint32).tobytes() for i in range(0, SKETCH, _CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "task", "counts"])
+def beginning(n: int, percent: int) -> int:
+    """How many shingles of a set of ``n`` step 1 looks at."""
+    return min(n, n - (percent * n + 99) // 100 + max(1, n // MORE))
 
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in rows["counts"])
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "task": [0], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    schema = "chunk int, task int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).groupBy("chunk", "task").applyInPandas(added, schema).groupBy("chunk").applyInPandas(added, schema)
-    with lean(docs.sparkSession):
-        rows = sorted((r.chunk, bytes(r.counts)) for r in parts.collect())  # SKETCH counters
-    seen = np.concatenate([np.frombuffer(b, np.uint32) for _, b in rows]).astype(np.float64) if rows else np.zeros(SKETCH)
-    usual = np.median(seen)
-    over = seen - (usual + 6 * np.sqrt(usual) + 8)
-    return np.where(over > 0, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
-
-
-def prefixes(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (s1, s2), the prefix of the set in global order, its parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # SKETCH bytes
+def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, row, n, node (a digest of the set), q (the beginning of the set in the order of digests)."""
 
     def make():
         hashes = WordHash()
 
         def run(texts: list[bytes | None]):
-            n, s1, s2, prefix, maps = [], [], [], [], []
-            for text in texts:
-                own = shingles(text, k, hashes)
-                size = len(own)
-                m1, m2 = mixed(own), mixed(own ^ np.uint64(0x5851F42D4C957F2D))
-                n.append(size)
-                s1.append(int(np.bitwise_xor.reduce(m1).view(np.int64)) if size else None)
-                s2.append(int(m2.sum(dtype=np.uint64).view(np.int64)) if size else None)
-                order = np.lexsort((own, shared.value[_slot(own)]))[: size - (percent * size + 99) // 100 + 1]
-                prefix.append(own[order].view(np.int64) if size else np.empty(0, np.int64))
-                maps.append(parity(own))
-            return n, s1, s2, pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))
+            own = [shingles(text, k, hashes) for text in texts]
+            sizes = [len(x) for x in own]
+            nodes = [int(mixed(mixed(x).sum(dtype=np.uint64) + np.uint64(len(x))).view(np.int64)) if len(x) else None for x in own]
+            flat = [x[: beginning(len(x), percent)].view(np.int64) for x in own]
+            return sizes, nodes, pa.array(flat, pa.list_(pa.int64()))
 
         return run
 
-    long = T.LongType()
-    fields = [T.StructField("n_shingles", long), T.StructField("s1", long), T.StructField("s2", long), T.StructField("prefix", T.ArrayType(long)), T.StructField("parity", T.ArrayType(long))]
-    return with_text_columns(docs, "text", make, fields, ["doc_id"], as_bytes=True)
-
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("q", T.ArrayType(T.LongType()))]
+    return with_text_columns(docs, "text", make, fields, ["doc_id", "row"], as_bytes=True)
 
-def whole_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node, own (its whole set) of the documents that ``wanted`` (node) has.
 
-    A filter of fixed size leaves out most other documents before their sets are made; the few
-    that it lets through have no pair to join."""
-    words = _filter_words(F.col("node"), wanted)
-    filled = np.zeros(FILTER // 64, np.int64)
-    rows = words.toPandas()  # FILTER / 64 words at most
-    filled[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
+def whole_sets(docs: DataFrame, k: int, live: DataFrame) -> DataFrame:
+    """node, own (its whole set) of the nodes in ``live`` (node, row)."""
 
-    def run(batches):
+    def make():
         hashes = WordHash()
-        for batch in batches:
-            b = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(((shared.value[b >> 6] >> (b & 63)) & 1).astype(bool)))
-            for part in slices(batch):
-                own = [shingles(t, k, hashes).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
+        return lambda texts: (pa.array([shingles(t, k, hashes).view(np.int64) for t in texts], pa.list_(pa.int64())),)
 
-    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bit"))
-    return source.mapInArrow(run, "node long, own array<long>")
+    texts = docs.select("row", "text").join(live, "row")
+    return with_text_columns(texts, "text", make, [T.StructField("own", T.ArrayType(T.LongType()))], ["node"], as_bytes=True).dropDuplicates(["node"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the smallest node of its component) for every node of ``edges`` (a, b).
 
     Rounds of large-star and small-star, until each node has one edge, to a node that has none of its
@@ -164,147 +102,131 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b")
 
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    done = False
+    done, before = False, None
     while not done:
-        current = written(star(star(current, True), False).distinct(), "star")
+        current = scratch.put(star(star(current, True), False).distinct(), "star")
+        if before is not None:
+            scratch.drop(before)
+        before = current
         ends = current.selectExpr("a AS u", "1 AS below", "0 AS above").unionAll(current.selectExpr("b", "0", "1"))
         ends = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
         done = ends.agg(F.count_if(F.expr("below > 1 OR below * above > 0"))).first()[0] == 0
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(current.select(F.col("b"), F.col("b")).distinct())
 
 
-def _room(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
-    """Whether sets of these sizes, with a common shingle at these positions, can be linked."""
-    return F.expr(
-        f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND "
-        f"(100 + {percent}) * least({na} - {pa_}, {nb} - {pb}) >= {percent} * ({na} + {nb})"
-    )
-
+def _class(n: str, percent: int) -> str:
+    return f"cast(floor(ln({n}) / {math.log(100 / percent)!r}) as int)"
 
-def _overlap(na: str, xa: str, nb: str, xb: str, percent: int) -> Column:
-    """Whether sets of these sizes and parity maps can be linked: they share at most half of what is left
-    of both sizes without the bits in which the maps differ."""
-    differ = " + ".join(f"bit_count({xa}[{i}] ^ {xb}[{i}])" for i in range(PARITY))
-    return F.expr(f"{100 + percent} * ({na} + {nb} - ({differ})) >= {2 * percent} * ({na} + {nb})")
 
+def live_nodes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, row of the sets that can have links (step 1)."""
+    each = sets.where("n > 0").select("node", "n", "row", F.explode("q").alias("h"))
+    shared = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("h")
+    # a partner has at least ``percent`` of the size, and so many shingles more than one in common
+    needed = F.expr(f"greatest(1, ({percent} * n + 99) div 100 div {MORE})")
+    enough = each.join(shared, "h").groupBy("node", "row", "n").agg(F.count("*").alias("m"))
+    return enough.where(F.col("m") >= needed).groupBy("node").agg(F.min("row").alias("row"))
 
-def _filter_words(nodes: Column, pairs: DataFrame) -> DataFrame:
-    """w, bits: a bit filter of ``nodes``, of FILTER / 64 rows at most."""
-    bit = F.pmod(F.xxhash64(nodes), F.lit(FILTER))
-    return pairs.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
 
+def shared_sets(whole: DataFrame, percent: int) -> DataFrame:
+    """node, n, own (its shared shingles, by count and digest), first (position of the first of them), prefix."""
+    each = whole.select("node", F.size("own").alias("n"), F.explode("own").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # a set's own shared shingles: no more than the set has
+    sets = each.join(counts, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("s"))
+    sets = sets.select("node", "n", F.col("s.h").alias("own"), (F.col("n") - F.size("s")).alias("first"))
+    room = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - first").cast("int")
+    return sets.where(room > 0).withColumn("prefix", F.slice("own", F.lit(1), room))
 
-def _needed(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """The rows (node, ...) of the nodes in column ``side`` of ``pairs``, their columns named for it.
 
-    A filter of fixed size, broadcast, keeps the others from being shuffled."""
-    words = F.broadcast(_filter_words(F.col(side), pairs))
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER))
-    hit = rows.withColumn("bit", bit).withColumn("w", F.expr("bit div 64")).join(words, "w").where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1")
-    return hit.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "node"))
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can be linked by their sizes and parity maps, which are far smaller than prefixes."""
-    maps = nodes.select("node", "n", "parity")
-    both = pairs.join(_needed(maps, pairs, "b"), "b").join(_needed(maps, pairs, "a"), "a")
-    return both.where(_overlap("n_a", "parity_a", "n_b", "parity_b", percent)).select("a", "b").distinct()
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by what their prefixes leave possible, then by whole sets."""
-    prefix = nodes.select("node", "n", "prefix")
-    both = pairs.join(_needed(prefix, pairs, "b"), "b").join(_needed(prefix, pairs, "a"), "a")
-    # common shingles that are not in both prefixes lie beyond the end of one of them
-    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
-    likely = written(both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "likely")
-    both = likely.join(_needed(sets, likely, "b"), "b").join(_needed(sets, likely, "a"), "a")
-    both = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("i"), (F.size("own_a") + F.size("own_b")).alias("s"))
-    return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
-
-
-def _with_links(classes: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what is known to be connected, and ``found``."""
-    return found if classes is None else classes.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found)
-
-
-def _head_pairs(live: DataFrame, turn: int, percent: int, tried: DataFrame | None) -> DataFrame:
-    """Pairs (a < b) of entries with heads of their own and neighbouring blocks of a list.
-
-    First each entry with the smallest set of each block; in later turns each set's entry in its
-    longest list with ``HEADS`` others, drawn by a digest.  Few for each entry, whatever the list."""
-    head = "min(named_struct('o', {}, 'node', node, 'n', n, 'pos', pos, 'label', label))"
-    orders = [f"xxhash64(node, {turn * HEADS + i})" for i in range(HEADS)] if turn else ["cast(n as bigint)"]
-    heads = live.groupBy("h", "b").agg(F.count("*").alias("m"), F.expr(f"array({', '.join(map(head.format, orders))})").alias("heads"))
-    if turn:
-        sized = live.join(heads.select("h", "b", "m"), ["h", "b"])
-        live = sized.groupBy("node").agg(F.expr("max_by(struct(h, b, n, pos, label), struct(m, h))").alias("e")).select("node", "e.*")
-    spread = heads.select("h", F.expr("explode(array(b - 1, b, b + 1))").alias("b"), "heads")
-    around = spread.groupBy("h", "b").agg(F.flatten(F.collect_list("heads")).alias("heads"))  # of three blocks
-    pairs = live.join(around, ["h", "b"]).select("node", "n", "pos", "label", F.explode(F.array_distinct("heads")).alias("head"))
-    pairs = pairs.where("label <> head.label AND node <> head.node").where(_room("n", "pos", "head.n", "head.pos", percent))
-    pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def _open_lists(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """The entries with their new labels, without the lists that have one class only."""
-    named = live.drop("label").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    still = named.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select("h")
-    return named.join(still, "h").select(*live.columns)
+def _room(x: str, y: str, percent: int) -> str:
+    """SQL: sets with a common shingle at these positions can be linked."""
+    return (
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND "
+        f"{100 + percent} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {percent} * ({x}.n + {y}.n)"
+    )
 
 
-def _crossing(live: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of entries of a list with different classes that could be linked; ``maps`` has node, parity."""
-    by_class = live.groupBy("h", "label").agg(F.count("*").alias("m"))
-    largest = by_class.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
-    known = live.join(maps, "node").join(largest, "h")
-    x = known.where("label <> largest").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label", "parity")))
-    y = known.select("h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "parity", "largest")))
-    crossing = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
-    rest = x.join(y, "h").where(crossing & _room("x_n", "x_pos", "y_n", "y_pos", percent) & _overlap("x_n", "x_parity", "y_n", "y_parity", percent))
-    return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+def probes(entries: DataFrame, percent: int) -> DataFrame:
+    """Each entry once for each block ``c`` of its list that has sets to be compared with it (step 3)."""
+    most = f"least(n, {100 + percent} * (n - pos) div {percent} - n)"
+    blocks = f"explode(CASE WHEN {most} * 100 >= {percent} * n THEN sequence({_class(f'({percent} * n + 99) div 100', percent)}, {_class(most, percent)}) END)"
+    return entries.select("h", F.expr(blocks).alias("c"), *(c for c in entries.columns if c != "h"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, o (shingles in common), s (sum of the sizes) of pairs of nodes."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("o"), (F.col("n_a") + F.col("n_b")).alias("s"))
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.expr(f"least({x}, {y})").alias("a"), F.expr(f"greatest({x}, {y})").alias("b")]
+
+
+def _candidates(labelled: DataFrame, heads: DataFrame | None, answers: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a < b) of sets of different classes, by what positions and the answers of heads leave possible."""
+    index, asked = labelled.withColumn("c", F.expr(_class("n", percent))), probes(labelled, percent)
+    smaller = "(y.n < x.n OR (y.n = x.n AND y.node < x.node))"
+    pairs = lambda x, y, more="": x.alias("x").join(y.alias("y"), ["h", "c"]).where(F.expr(f"x.label <> y.label AND {smaller} AND {_room('x', 'y', percent)} {more}")).select(*_ordered("x.node", "y.node"))
+    if heads is None:
+        return pairs(asked, index).distinct()
+    by_class = index.groupBy("h", "c", "label").agg(F.count("*").alias("m")).groupBy("h", "c").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
+    blocks = heads.select("h", "c", F.col("head.node").alias("head")).join(by_class, ["h", "c"])
+    with_answer = lambda e: e.join(blocks, ["h", "c"]).join(answers, ["node", "head"], "left")
+    x, y = with_answer(asked), with_answer(index)
+    derived = f"AND coalesce({100 + percent} * (least(x.o, y.o) + least(x.n - x.o, y.n - y.o)) >= {percent} * (x.n + y.n), true)"
+    other, same = "label <> largest", "label = largest"
+    short = pairs(asked.join(heads, ["h", "c"], "left_anti"), index)
+    return short.unionAll(pairs(x.where(other), y, derived)).unionAll(pairs(x.where(same), y.where(other), derived)).distinct()
+
+
+def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """node, label for the sets (node, n, own, first, prefix) that have links; None if none has."""
+    entries = sets.select("node", "n", "first", F.posexplode("prefix").alias("i", "h"))
+    entries = scratch.put(entries.select("h", "node", "n", (F.col("first") + F.col("i")).alias("pos")), "entries")
+    linked = F.expr(f"{100 + percent} * o >= {percent} * s")
+    blocks = entries.groupBy("h", F.expr(_class("n", percent)).alias("c")).agg(F.count("*").alias("m"), F.expr("min(named_struct('pos', pos, 'node', node, 'n', n))").alias("head"))
+    heads = scratch.put(blocks.where(F.col("m") > LONG).select("h", "c", "head"), "heads")
+    classes = answers = None
+    if not heads.isEmpty():
+        asked = probes(entries, percent).alias("x").join(heads, ["h", "c"]).where("x.node <> head.node AND " + _room("x", "head", percent))
+        with_heads = scratch.put(verified(asked.select(F.col("x.node").alias("a"), F.col("head.node").alias("b")).distinct(), sets), "answers")
+        answers = with_heads.select(F.col("a").alias("node"), F.col("b").alias("head"), "o")
+        found = with_heads.where(linked).select("a", "b")
+        if not found.isEmpty():
+            classes = components(found, scratch)
+    labelled = entries.withColumn("label", F.col("node")) if classes is None else entries.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if answers is None:
+        pairs = _candidates(labelled, None, None, percent)
+    else:
+        # a head has all of itself in common with itself
+        own = heads.select(F.col("head.node").alias("node"), F.col("head.node").alias("head"), F.col("head.n").alias("o")).distinct()
+        pairs = _candidates(labelled, heads, answers.unionAll(own), percent).join(with_heads.select(*_ordered("a", "b")), ["a", "b"], "left_anti")
+    more = scratch.put(verified(pairs, sets).where(linked).select("a", "b"), "links")
+    if more.isEmpty():
+        return classes
+    return components(more if classes is None else classes.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more), scratch)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    docs = df.select(name(id_col).cast("long").alias("doc_id"), name(text_col).alias("text"))
-    rows = written(prefixes(docs, k, percent, frequency_ranks(docs, k)), "sets")
-    reps = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    # one row a distinct set; its prefix comes from the row of the smallest id
-    nodes = rows.where("n_shingles > 0").join(reps.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "s1", "s2"])
-    nodes = written(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), "prefix", "parity"), "nodes")
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    block = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    entries = written(postings.join(shared, "h").withColumn("b", block), "entries")
-    # a set may be linked to one of its block or of the next, since sizes differ by 100 / percent at most
-    near = F.expr("explode(array(b - 1, b, b + 1))")
-    company = entries.groupBy("h", "b").agg(F.count("*").alias("m")).select("h", near.alias("near"), "m", "b")
-    company = company.groupBy("h", F.col("near").alias("b")).agg(F.sum("m").alias("m"), F.max(F.expr("b = near")).alias("own")).where("own AND m > 1")
-    live = written(entries.join(company.select("h", "b"), ["h", "b"]).withColumn("label", F.col("node")), "lists")
-    sets = written(whole_sets(docs, k, live.select("node").distinct()), "whole")
-
-    classes = tried = None
-    for turn in range(ROUNDS):
-        pairs = written(_head_pairs(live, turn, percent, tried), "pairs")
-        possible = written(_possible(pairs, nodes, percent), "possible")
-        found = written(_linked(possible, nodes, sets, percent), "links")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if turn and found.isEmpty():
-            break
-        if found.isEmpty():
-            continue
-        classes = written(components(_with_links(classes, found)), "classes")
-        live = written(_open_lists(live, classes), "lists")
-    rest = written(_crossing(live, nodes.select("node", "parity"), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(_linked(rest, nodes, sets, percent), "links")
-    if not more.isEmpty():
-        classes = components(_with_links(classes, more))
-    if classes is None:
-        classes = reps.select("node", F.col("node").alias("label")).limit(0)
-
-    named = reps.join(classes, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))
-    # rows of one set are many where a text has many copies: a skewed join, which Spark can split
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    scratch = Scratch(df.sparkSession)
+    docs = df.select(name(id_col).cast("long").alias("doc_id"), name(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    all_sets = scratch.put(digests(docs, k, percent), "sets")
+    live = scratch.put(live_nodes(all_sets, percent), "live")
+    rows = scratch.put(all_sets.select("doc_id", "n", "node"), "rows")
+    scratch.drop(all_sets)
+    whole = scratch.put(whole_sets(docs, k, live), "whole")
+    sets = scratch.put(shared_sets(whole, percent), "shared")
+    scratch.drop(whole)
+    classes = links(sets, percent, scratch)
+    # rows of one set are many where a text has many copies: skewed joins, which Spark can split
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    if classes is not None:
+        together = least.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        of_class = together.groupBy("label").agg(F.min("least").alias("component"))
+        least = together.select("node", "label").join(of_class, "label").select("node", F.col("component").alias("least"))
+    out = rows.join(least, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
