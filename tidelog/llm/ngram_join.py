@@ -30,16 +30,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import Scratch, WordHash, mixed, name, windows, with_text_columns
+from tidelog.llm.common import Scratch, WordHash, fresh, lean, mixed, name, slices, windows, with_text_columns
 
 #: Entries of a block above which its sets are first compared with its head.
 LONG = 16
 #: A live set shares one in so many of its shingles beyond what a prefix needs.
 MORE = 10
+#: Bits of the filter of live sets, at most.
+FILTER = 1 << 27
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -64,7 +66,7 @@ def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
         def run(texts: list[bytes | None]):
             own = [shingles(text, k, hashes) for text in texts]
             sizes = [len(x) for x in own]
-            nodes = [int(mixed(mixed(x).sum(dtype=np.uint64) + np.uint64(len(x))).view(np.int64)) if len(x) else None for x in own]
+            nodes = [_digest(x) if len(x) else None for x in own]
             flat = [x[: beginning(len(x), percent)].view(np.int64) for x in own]
             return sizes, nodes, pa.array(flat, pa.list_(pa.int64()))
 
@@ -74,15 +76,36 @@ def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return with_text_columns(docs, "text", make, fields, ["doc_id", "row"], as_bytes=True)
 
 
-def whole_sets(docs: DataFrame, k: int, live: DataFrame) -> DataFrame:
-    """node, own (its whole set) of the nodes in ``live`` (node, row)."""
+def _digest(own: np.ndarray) -> int:
+    return int(mixed(mixed(own).sum(dtype=np.uint64) + np.uint64(len(own))).view(np.int64))
 
-    def make():
+
+def whole_sets(docs: DataFrame, k: int, live: DataFrame) -> DataFrame:
+    """node, own (its whole set) of the nodes in ``live`` (node, row).
+
+    A filter of FILTER bits at most, broadcast, keeps most other texts from being cut up and shuffled; the join decides."""
+    spark = docs.sparkSession
+    bits = 1 << min(max(live.count() * 16, 1 << 16).bit_length(), FILTER.bit_length() - 1)
+    place = F.pmod(F.col("row"), F.lit(bits))
+    words = live.select(F.floor(place / 32).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(row, {bits}) % 32 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    filled = np.zeros(bits // 32, np.uint32)
+    with lean(spark):
+        for batch in words.toArrow().to_batches():  # FILTER / 32 words at most
+            filled[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def run(batches):
         hashes = WordHash()
-        return lambda texts: (pa.array([shingles(t, k, hashes).view(np.int64) for t in texts], pa.list_(pa.int64())),)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (bits - 1)
+            batch = batch.filter(pa.array(((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)))
+            for part in slices(batch):
+                own = [shingles(t, k, hashes) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                nodes = pa.array([_digest(x) if len(x) else None for x in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["row", "node", "own"])
 
-    texts = docs.select("row", "text").join(live, "row")
-    return with_text_columns(texts, "text", make, [T.StructField("own", T.ArrayType(T.LongType()))], ["node"], as_bytes=True).dropDuplicates(["node"])
+    made = docs.select("row", "text").mapInArrow(run, "row long, node long, own array<long>")
+    return made.join(live, ["node", "row"], "left_semi").dropDuplicates(["node"]).select("node", "own")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -120,12 +143,13 @@ def _class(n: str, percent: int) -> str:
 
 def live_nodes(sets: DataFrame, percent: int) -> DataFrame:
     """node, row of the sets that can have links (step 1)."""
-    each = sets.where("n > 0").select("node", "n", "row", F.explode("q").alias("h"))
+    each = sets.where("n > 0").select("node", F.explode("q").alias("h"))
     shared = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("h")
-    # a partner has at least ``percent`` of the size, and so many shingles more than one in common
+    of_node = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("rows"))
+    # a partner has at least ``percent`` of the size, and so many shingles more than one in common; each row of a set counts its own
     needed = F.expr(f"greatest(1, ({percent} * n + 99) div 100 div {MORE})")
-    enough = each.join(shared, "h").groupBy("node", "row", "n").agg(F.count("*").alias("m"))
-    return enough.where(F.col("m") >= needed).groupBy("node").agg(F.min("row").alias("row"))
+    enough = each.join(shared, "h").groupBy("node").agg(F.count("*").alias("m")).join(of_node, "node")
+    return enough.where(F.col("m") >= needed * F.col("rows")).select("node", "row")
 
 
 def shared_sets(whole: DataFrame, percent: int) -> DataFrame:
@@ -210,23 +234,50 @@ def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     return components(more if classes is None else classes.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more), scratch)
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """row (a digest of id and text), doc_id, n, label (of the class; null without shingles), component_id for each row."""
     scratch = Scratch(df.sparkSession)
-    docs = df.select(name(id_col).cast("long").alias("doc_id"), name(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = df.select(name(id_col).cast("long").alias("doc_id"), name(text_col).alias("text")).withColumn("row", row_key("doc_id", "text"))
     all_sets = scratch.put(digests(docs, k, percent), "sets")
     live = scratch.put(live_nodes(all_sets, percent), "live")
-    rows = scratch.put(all_sets.select("doc_id", "n", "node"), "rows")
+    rows = scratch.put(all_sets.select("row", "doc_id", "n", "node"), "rows")
     scratch.drop(all_sets)
     whole = scratch.put(whole_sets(docs, k, live), "whole")
     sets = scratch.put(shared_sets(whole, percent), "shared")
     scratch.drop(whole)
     classes = links(sets, percent, scratch)
     # rows of one set are many where a text has many copies: skewed joins, which Spark can split
-    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if classes is not None:
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("component"))
+    if classes is None:
+        least = least.withColumn("label", F.col("node"))
+    else:
         together = least.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        of_class = together.groupBy("label").agg(F.min("least").alias("component"))
-        least = together.select("node", "label").join(of_class, "label").select("node", F.col("component").alias("least"))
+        of_class = together.groupBy("label").agg(F.min("component").alias("component"))
+        least = together.select("node", "label").join(of_class, "label")
     out = rows.join(least, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("row", "doc_id", "n", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(name(id_col).cast("long"), name(text_col))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    return _classes(df, id_col, text_col, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``df`` with one row of each class: that of the smallest id; a null id comes last.
+
+    Rows of equal id and text are one.  Rows without shingles are a class each, by their id and text."""
+    key = fresh(df.columns, "key")
+    scratch = Scratch(df.sparkSession)
+    by_row = _classes(df, id_col, text_col, k, percent).groupBy("row", "label").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id"))
+    one = F.expr("min(named_struct('unnamed', doc_id IS NULL, 'doc_id', doc_id, 'row', row, 'm', m))").alias("one")
+    of_class = by_row.where("label IS NOT NULL").groupBy("label").agg(one).select("one.row", "one.m")
+    chosen = scratch.put(of_class.unionAll(by_row.where("label IS NULL").select("row", "m")).withColumnRenamed("row", key), "chosen")
+    keyed = df.withColumn(key, row_key(id_col, text_col))
+    single = keyed.join(chosen.where("m = 1"), key, "left_semi")
+    many = keyed.join(chosen.where("m > 1"), key, "left_semi").dropDuplicates([key])
+    return single.unionAll(many).select(*map(name, df.columns))
