@@ -88,6 +88,14 @@ def name(column: str):
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(columns: Sequence[str], base: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, SLICE):
         yield batch.slice(start, SLICE)
@@ -108,11 +116,12 @@ def with_text_columns(
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     inside = text_col in kept
-    source = df.select(*map(name, kept), *([] if inside else [name(text_col).alias("__text")]))
-    schema = T.StructType([*(source.schema[c] for c in kept), *fields])
-    at = kept.index(text_col) if inside else len(kept)
-    arrow = to_arrow_schema(schema)
+    # numbered inside: a user's column may have any name
+    source = df.select(*(name(c).alias(f"c{i}") for i, c in enumerate(kept)), *([] if inside else [name(text_col).alias(f"c{len(kept)}")]))
     n = len(kept)
+    at = kept.index(text_col) if inside else n
+    schema = T.StructType([*source.schema.fields[:n], *(T.StructField(f"c{n + i}", f.dataType) for i, f in enumerate(fields))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -129,7 +138,7 @@ def with_text_columns(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *(f.name for f in fields))
 
 
 class WordHash(dict):

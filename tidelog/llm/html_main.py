@@ -9,15 +9,18 @@ page is scored alike.  A linear scan finds the contiguous region of the greatest
 blocks are the text, without words whose mark weighs ``DROPPED`` or less or was never seen.
 
 A class or id name on an element with more than half of the page's words, and its ``h1`` if it has
-one, is that of a wrapper and no mark.  Scripts, styles and hidden elements are not text.
+one, is that of a wrapper and no mark; so is a form around the whole page.  Scripts, styles and hidden elements are not text.
 
 Null html gives empty text and 0 characters, as does a page without words.  Unclosed and
-misnested markup is read as far as it goes; an element ends with the one around it.
+misnested markup is read as far as it goes, in time in proportion to its length; an element ends with the one around it.  Repeated rows are
+extracted alike, an empty table gives an empty result; other columns pass, but for those named like new ones.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -51,7 +54,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 #: Score of a word under a mark that no labelled page has, and what a mark weighs for its words to be passed over.
 UNSEEN, DROPPED = -0.2, -1.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_BEGIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -74,6 +78,48 @@ def mark_of(tag: str, attributes: str, sectioned: bool) -> str | None:
     return mark
 
 
+def tokens(html: str) -> Iterator[tuple[str | None, bool, str, int]]:
+    """(tag, whether it closes, its attributes, where it ends) of each tag; (None, False, text, end) of text between.
+
+    One pass: each character is looked at a bounded number of times, also where quotes or tags never end.  After a quote that
+    never ends, tags end at the next ``>``, quoted or not; a tag without any is left out with all after it.
+    The receiver may send a position to go on from."""
+    at, n = 0, len(html)
+    quoted = True  # whether quotes still come in pairs
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            at = (yield None, False, html[at:end], end) or end
+            continue
+        if html.startswith(("<!", "<?"), at):
+            for begin, close in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if html.startswith(begin, at):
+                    end = html.find(close, at + len(begin))
+                    at = n if end < 0 else end + len(close)
+                    break
+            continue
+        m = _BEGIN.match(html, at)
+        if m is None:
+            at = (yield None, False, "<", at + 1) or at + 1
+            continue
+        end = m.end()
+        while quoted:
+            end = _PLAIN.match(html, end).end()
+            if end >= n or html[end] == ">":
+                break
+            after = html.find(html[end], end + 1)
+            if after < 0:
+                quoted = False
+                break
+            end = after + 1
+        if not quoted:
+            end = html.find(">", m.end())
+        if end < 0 or end >= n:
+            return
+        at = (yield m[2].lower(), bool(m[1]), html[m.end() : end], end + 1) or end + 1
+
+
 @dataclass
 class Page:
     """kinds: for each event its token; words: how many (0: a tag); texts by event; block numbers; marks (or None).
@@ -92,17 +138,19 @@ class Page:
 def parse(html: str) -> Page:
     """The events of a page outside of hidden elements, their marks, and which lie in a content element."""
     page = Page()
-    stack: list[tuple[str, bool, bool, int, str]] = []  # tag, hidden, content, marked element and context around
+    # tag, hidden, content, marked element and context around, the nearest element up to here that is not inline, whether a link lies after it
+    stack: list[tuple[str, bool, bool, int, str, int, bool]] = []
+    opened: Counter = Counter()
     marked: list[list] = []  # name, marked element around, words, content elements around, whether it holds the h1
     owners: list[int] = []  # by event: its marked element
     hidden = content = links = block = sections = headings = 0
     nearest = -1
     context = "body"
-    at, n = 0, len(html)
 
     def pop() -> None:
         nonlocal hidden, content, links, context, block, nearest, sections
-        tag, was_hidden, was_content, nearest, context = stack.pop()
+        tag, was_hidden, was_content, nearest, context, _, _ = stack.pop()
+        opened[tag] -= 1
         hidden -= was_hidden
         content -= was_content
         links -= tag == "a"
@@ -118,16 +166,15 @@ def parse(html: str) -> Page:
         page.inside.append(None if content and nearest >= 0 and marked[nearest][3] else content > 0)
         owners.append(nearest)
 
-    while at < n:
-        m = _TOKEN.match(html, at)
-        if m is None:  # a tag that never ends
+    parts = tokens(html)
+    goto: int | None = None
+    while True:
+        try:
+            tag, closes, text, at = parts.send(goto)
+        except StopIteration:
             break
-        at = m.end()
-        tag = m[2]
+        goto = None
         if tag is None:
-            text = m[0]
-            if text.startswith("<!") or text.startswith("<?"):
-                continue
             if not hidden:
                 text = unescape(text)
                 if words := len(text.split()):
@@ -135,9 +182,8 @@ def parse(html: str) -> Page:
                 elif text:
                     event("", 0, " ")
             continue
-        tag = tag.lower()
-        if m[1]:
-            if any(s[0] == tag for s in stack):
+        if closes:
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 if not hidden:
@@ -146,20 +192,23 @@ def parse(html: str) -> Page:
             continue
         if tag not in INLINE:
             ends = ENDS.get(tag, set()) | ({"p"} if tag not in VOID or tag == "hr" else set())
-            while stack and (stack[-1][0] in ends or stack[-1][0] in INLINE and any(s[0] in ends for s in stack[-8:]) and stack[-1][0] != "a"):
-                pop()
+            while stack and stack[-1][5] >= 0 and not stack[-1][6] and stack[stack[-1][5]][0] in ends:
+                for _ in range(len(stack) - stack[-1][5]):
+                    pop()
             block += 1
         if tag in RAW or tag == "title":
             end = _CLOSE[tag].search(html, at)
-            at = end.end() if end else n
+            goto = end.end() if end else len(html)
             continue
-        if tag in VOID or m[3].endswith("/") and tag in INLINE:
+        if tag in VOID or text.endswith("/") and tag in INLINE:
             if not hidden:
-                event(tag if tag not in INLINE else "", 0, " " if tag in ("br", "img", "wbr") and tag == "br" else "")
+                event(tag if tag not in INLINE else "", 0, " " if tag == "br" else "")
             continue
-        mark = mark_of(tag, m[3], sections > 0)
-        own = not hidden and mark is None and (tag in CONTENT or 'role="main"' in m[3])
-        stack.append((tag, mark == "hidden", own, nearest, context))
+        mark = mark_of(tag, text, sections > 0)
+        own = not hidden and mark is None and (tag in CONTENT or 'role="main"' in text)
+        block_at, linked = (len(stack), False) if tag not in INLINE else (stack[-1][5], stack[-1][6] or tag == "a") if stack else (-1, False)
+        stack.append((tag, mark == "hidden", own, nearest, context, block_at, linked))
+        opened[tag] += 1
         hidden += mark == "hidden"
         content += own
         links += tag == "a"
@@ -173,7 +222,7 @@ def parse(html: str) -> Page:
         if tag == "h1" and not hidden:
             headings += 1
             around = nearest
-            while around >= 0:
+            while around >= 0 and not marked[around][4]:
                 marked[around][4] = True
                 around = marked[around][1]
         if tag not in INLINE:
@@ -187,7 +236,7 @@ def parse(html: str) -> Page:
     total = sum(page.words)
     names: list[str | None] = []
     for mark, around, words, _, heading in marked:
-        wrapper = mark.startswith("class:") and 2 * words > total and (heading or not headings)
+        wrapper = mark.startswith(("class:", "tag:form")) and 2 * words > total and (heading or not headings)
         names.append((names[around] if around >= 0 else None) if wrapper else mark)
     page.marks = [names[i] if i >= 0 else None for i in owners]
     return page

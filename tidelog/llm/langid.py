@@ -135,10 +135,11 @@ def fit(
     shared = spark.sparkContext.broadcast(idf)  # BUCKETS numbers
     pairs = [F.lit(v) for k in langs for v in (k, counts[k])]
     where = {k: i for i, k in enumerate(langs)}
-    digest = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
+    digest = lambda seed: F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))  # noqa: E731  of the whole row: ids may repeat or be null
     sample = labelled.where(F.pmod(digest(1), F.create_map(*pairs)[F.col("lang")]) < per_lang).select(
-        "doc_id", "text", "lang", F.when(F.pmod(digest(2), F.lit(5)) == 0, -1).otherwise(F.pmod(digest(3), F.lit(shards))).cast("int").alias("shard")
+        "doc_id", "text", "lang", F.when(F.pmod(digest(2), F.lit(5)) == 0, -1).otherwise(F.pmod(digest(3), F.lit(shards))).cast("int").alias("shard"), digest(4).alias("order")
     )
+    sample = sample.dropDuplicates(["doc_id", "text", "lang"])  # equal rows are drawn together, and count once
 
     def features():
         grams = Grams()
@@ -150,7 +151,7 @@ def fit(
         return run
 
     fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))]
-    sample = written(with_text_columns(sample, "text", features, fields, ["doc_id", "lang", "shard"]), "langid")
+    sample = written(with_text_columns(sample, "text", features, fields, ["doc_id", "lang", "shard", "order"]), "langid")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id"])
@@ -159,7 +160,7 @@ def fit(
         at = np.flatnonzero(np.abs(w).sum(1))
         return pd.DataFrame({"bucket": np.repeat(at, len(langs)), "lang": np.tile(np.arange(len(langs)), len(at)), "w": w[at].ravel()})
 
-    learned = sample.where("shard >= 0").withColumn("order", digest(4)).groupBy("shard").applyInPandas(train, "bucket long, lang int, w double")
+    learned = sample.where("shard >= 0").groupBy("shard").applyInPandas(train, "bucket long, lang int, w double")
     # bounded by BUCKETS times languages; rounded, so that the order of the sum does not show
     learned = learned.groupBy("bucket", "lang").agg(F.round(F.sum("w") / shards, 9).alias("w")).toPandas()
     w = np.zeros((BUCKETS, len(langs)))

@@ -1,31 +1,34 @@
-"""SentencePiece encoding and decoding, with the identifiers that the model's own algorithm gives.
+"""SentencePiece encoding and decoding by a streaming Viterbi search, with the identifiers of the model's own algorithm.
 
-A BPE model encodes by merges: of all neighbours whose union is a piece, those of the best score
-are joined first, the leftmost of equals, until none are left.  No path of best score gives that.
-Identifiers are committed word by word where no piece crosses a gap between words.
+The search keeps one path to each of the last positions, as many as the longest piece has characters, and commits
+identifiers as soon as all surviving paths go through one boundary.  What it keeps at a position depends on the model:
 
-A unigram model encodes by the path of best score, in a streaming Viterbi search.  It keeps the best path to each of the last positions, as many as the longest
-piece has characters, and commits identifiers as soon as all surviving paths go through
-one boundary.  Where no piece of the vocabulary crosses a gap between words, all paths
-meet there, so words are searched one by one.  Either way words are memoised.
+* A unigram model: the path of the best sum of scores; ties go to the longer last piece.  A character
+  without a piece costs its UTF-8 bytes' pieces.
+* A BPE model: the path that merging (best pair first, the leftmost of equals) would leave of the text so far.  A sequence of
+  pieces is what merging leaves if and only if each two neighbours are what it leaves of the two alone, for merges
+  within pieces do not see what lies beyond, and the first merge across a boundary would happen in the pair
+  too.  So each position has exactly one such path: its last piece is the one that may follow the
+  path to where that piece begins.  Whether two pieces may be neighbours is found by merging
+  their few characters, and memoised.  A path of best score would be another text's: scores of a BPE model are ranks.
 
-A path's value is the sum of its pieces' scores; a character without a piece costs its
-UTF-8 bytes' pieces.  Ties go to the longer last piece.  In a BPE model too a
-character without a piece becomes its bytes.  ``U+2581`` in a text is written as
-bytes, so that decoding gives back every text exactly.
+Where no piece of the vocabulary crosses a gap between words, all paths meet there, so texts are searched word by
+word and words are memoised; that changes no identifier.
 
-Null text: null identifiers, 0 pieces.  Empty text: no identifiers.  Other columns pass.
+A character without a piece becomes its bytes.  ``U+2581`` in a text is written as
+bytes, so that decoding gives back every text exactly (the library reads it as a space).
+
+Null text: null identifiers, 0 pieces.  Empty text: no identifiers.  Repeated rows are encoded each, an empty table gives an empty result,
+texts may have any length.  Other columns pass, but for those named like new ones.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
 from itertools import chain
-import re
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,6 +39,11 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORDS = re.compile(r" *[^ ]+| +")
 #: Entries of a task's memo of words; a full memo starts anew.
 WORDS = 500_000
+#: Entries of the memo of neighbours; a full memo starts anew.
+PAIRS = 1_000_000
+#: Identifiers from here on stand for characters without a piece; the start of a text.
+_CHAR, _START = 1 << 24, -1
+_NONE = (0, -float("inf"))
 #: Positions between two looks for a common boundary.
 _LOOK = 64
 
@@ -50,7 +58,6 @@ class Vocabulary:
         self.byte_of = {i: int(m[1], 16) for i, p in enumerate(pieces) if not plain[i] and (m := _BYTE.fullmatch(p))}
         self.of_byte = {b: i for i, b in self.byte_of.items()}
         self.piece = {self.text[i]: (i, scores[i]) for i in range(len(pieces)) if plain[i] and self.text[i]}
-        self.begun = dict.fromkeys(p[:i] for p in self.piece for i in range(1, len(p))) | self.piece
         self.single = {p for p in self.piece if len(p) == 1}
         self.ends = ahocorasick.Automaton()
         for p, (i, score) in self.piece.items():
@@ -59,6 +66,7 @@ class Vocabulary:
         self.longest = max(map(len, self.piece), default=1)
         low = min((s for _, s in self.piece.values() if s > -1e8), default=0.0)
         self.byte_score = low - 10.0
+        self.neighbours: dict[tuple[int, int], bool] = {}
         self.by_words = not any(" " in p.lstrip(" ") for p in self.piece)
 
     @classmethod
@@ -76,130 +84,100 @@ class Vocabulary:
         own = char.encode()
         return tuple(self.of_byte[b] for b in own), self.byte_score * len(own)
 
-
-def stream(chars: Iterable[str], v: Vocabulary) -> Iterator[int]:
-    """Identifiers of the best path; memory is bounded by where paths meet.
-
-    A node is [value, node before, identifiers of its piece, position]."""
-    alive: list[list] = [[0.0, None, (), 0]]  # the last v.longest positions, newest at the end
-    tail = ""
-    base = alive[0]
-    for char in chars:
-        tail = (tail + char)[-v.longest :]
-        best: list | None = None
-        for size in range(min(len(tail), len(alive)), 0, -1):
-            before = alive[-size]
-            found = v.piece.get(tail[-size:])
-            if found is not None and (best is None or before[0] + found[1] > best[0]):
-                best = [before[0] + found[1], before, (found[0],), alive[-1][3] + 1]
-        if best is None or v.piece.get(char) is None:
-            ids, value = v.fallback(char)
-            if best is None or alive[-1][0] + value > best[0]:
-                best = [alive[-1][0] + value, alive[-1], ids, alive[-1][3] + 1]
-        alive.append(best)
-        if len(alive) > v.longest:
-            del alive[0]
-        if best[3] % _LOOK == 0:
-            meet = _meeting(alive)
-            if meet is not base:
-                yield from _between(base, meet)
-                meet[1] = None
-                base = meet
-    yield from _between(base, alive[-1])
-
-
-def _meeting(alive: list[list]) -> list:
-    """The last node that all alive paths share; at worst the committed one."""
-    nodes = {id(n): n for n in alive}
-    while len(nodes) > 1:
-        last = max(nodes.values(), key=lambda n: n[3])
-        del nodes[id(last)]
-        nodes[id(last[1])] = last[1]
-    return next(iter(nodes.values()))
-
-
-def _between(start: list, end: list) -> list[int]:
-    back = []
-    while end is not start:
-        back.append(end[2])
-        end = end[1]
-    return list(chain.from_iterable(reversed(back)))
-
-
-def short_path(word: str, v: Vocabulary) -> tuple[int, ...]:
-    """The same best path for a word that is held whole: its positions are the window."""
-    if v.single.issuperset(word):  # every position can be reached: take the pieces as they end, the longest first
-        value, back = [0.0] + [-1e300] * len(word), [(0, 0)] * (len(word) + 1)
-        for end, (size, i, score) in v.ends.iter(word):
-            total = value[end + 1 - size] + score
-            if total > value[end + 1]:
-                value[end + 1] = total
-                back[end + 1] = (end + 1 - size, i)
-        out, end = [], len(word)
-        while end:
-            end, i = back[end]
-            out.append(i)
-        out.reverse()
-        return tuple(out)
-    get, n = v.begun.get, len(word)
-    value, back = [0.0] + [-1e300] * n, [None] * (n + 1)
-    for start in range(n):  # an earlier start makes a longer piece: it keeps a tie
-        own = value[start]
-        for end in range(start + 1, n + 1):
-            found = get(word[start:end], False)
-            if found is False:  # no piece begins so
-                break
-            if found is not None and own + found[1] > value[end]:
-                value[end], back[end] = own + found[1], (start, found[0])
-        if word[start] not in v.single:
-            ids, cost = v.fallback(word[start])
-            if own + cost > value[start + 1]:
-                value[start + 1], back[start + 1] = own + cost, (start, ids)
-    out, end = [], len(word)
-    while end:
-        end, ids = back[end]
-        out.append(ids)
-    out.reverse()
-    return tuple(out) if not any(isinstance(i, tuple) for i in out) else tuple(chain.from_iterable(i if isinstance(i, tuple) else (i,) for i in out))
-
-
-def merged(word: str, v: Vocabulary) -> tuple[int, ...]:
-    """The identifiers of a BPE model: the best pair first, the leftmost of equals."""
-    parts = list(word)
-    if len(parts) <= 64:
-        get, none = v.piece.get, (0, -np.inf)
-        values = [get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
-        while values and (best := max(values)) > -np.inf:
+    def _string(self, i: int) -> str:
+        return chr(i - _CHAR) if i >= _CHAR else self.text[i]
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging leaves pieces ``a`` and ``b`` of the two joined."""
+        known = self.neighbours.get((a, b))
+        if known is None:
+            own = [self._string(i) for i in (a, b) if i != _START]
+            if len(self.neighbours) >= PAIRS:
+                self.neighbours.clear()
+            known = self.neighbours[a, b] = self.merged("".join(own)) == own
+        return known
+
+    def merged(self, text: str) -> list[str]:
+        """What merging leaves of a text of a few characters."""
+        parts, get = list(text), self.piece.get
+        values = [get(a + b, _NONE)[1] for a, b in zip(parts, parts[1:])]
+        while values and (best := max(values)) > _NONE[1]:
             at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del values[at]
             if at:
-                values[at - 1] = get(parts[at - 1] + parts[at], none)[1]
+                values[at - 1] = get(parts[at - 1] + parts[at], _NONE)[1]
             if at < len(values):
-                values[at] = get(parts[at] + parts[at + 1], none)[1]
-    else:
-        parts = _merged_long(parts, v)
-    return tuple(chain.from_iterable((v.piece[p][0],) if p in v.piece else v.fallback(p)[0] for p in parts))
-
-
-def _merged_long(parts: list[str], v: Vocabulary) -> list[str]:
-    """The same merges by a queue: a part that has been joined to the one before it is empty."""
-    n = len(parts)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = [(-found[1], i, i + 1, parts[i] + parts[i + 1]) for i in range(n - 1) if (found := v.piece.get(parts[i] + parts[i + 1]))]
-    heapify(queue)
-    while queue:
-        _, i, j, both = heappop(queue)
-        if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != both:
-            continue
-        parts[i], parts[j] = both, ""
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (found := v.piece.get(parts[a] + parts[b])):
-                heappush(queue, (-found[1], a, b, parts[a] + parts[b]))
-    return [p for p in parts if p]
+                values[at] = get(parts[at] + parts[at + 1], _NONE)[1]
+        return parts
+
+
+def stream(chunks: Iterable[str], v: Vocabulary) -> Iterator[int]:
+    """Identifiers of a text given in chunks; memory is bounded by where paths meet.
+
+    Positions count from the last common boundary.  The path to a position is known by its last piece: it goes on where that begins."""
+    ids, sizes, values = [_START], [0], [0.0]
+    merges, known, longest, single = v.merges, v.neighbours.get, v.longest, v.single
+    tail = ""
+    for chunk in chunks:
+        skip = len(tail)
+        ends = v.ends.iter(tail + chunk)
+        found = next(ends, None)
+        while found is not None and found[0] < skip:
+            found = next(ends, None)
+        for at, char in enumerate(chunk, skip):
+            here = len(ids)
+            best, own, value = _CHAR + ord(char), 1, None
+            while found is not None and found[0] == at:  # pieces that end here, the longest first
+                size, i, score = found[1]
+                found = next(ends, None)
+                if size > here:
+                    continue
+                if not merges:
+                    total = values[here - size] + score
+                    if value is None or total > value:
+                        best, own, value = i, size, total
+                elif value is None:
+                    fits = known((ids[here - size], i))
+                    if v.may_follow(ids[here - size], i) if fits is None else fits:
+                        best, own, value = i, size, 0.0
+            if not merges and char not in single:
+                total = values[-1] + v.fallback(char)[1]
+                if value is None or total > value:
+                    best, own, value = _CHAR + ord(char), 1, total
+            ids.append(best)
+            sizes.append(own)
+            values.append(value or 0.0)
+            if here % _LOOK == 0:
+                meet = _meeting(sizes, longest)
+                yield from _path(ids, sizes, meet, v)
+                del ids[:meet], sizes[:meet], values[:meet]
+        tail = (tail + chunk)[1 - longest :] if longest > 1 else ""
+    yield from _path(ids, sizes, len(ids) - 1, v)
+
+
+def _meeting(sizes: list[int], longest: int) -> int:
+    """The last position that the paths to all of the last ``longest`` positions share."""
+    n = len(sizes)
+    alive = {*range(max(0, n - longest), n)}
+    while len(alive) > 1:
+        last = max(alive)
+        alive.remove(last)
+        alive.add(last - sizes[last])
+    return alive.pop()
+
+
+def _path(ids: list[int], sizes: list[int], end: int, v: Vocabulary) -> list[int]:
+    back: list[int] = []
+    while end > 0:
+        i = ids[end]
+        if i >= _CHAR:
+            back.extend(reversed(v.fallback(chr(i - _CHAR))[0]))
+        else:
+            back.append(i)
+        end -= sizes[end]
+    back.reverse()
+    return back
 
 
 class Encoder(dict):
@@ -211,9 +189,9 @@ class Encoder(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS:
             self.clear()
-        if len(word) > 64:
-            return merged(word, self.v) if self.v.merges else tuple(stream(word, self.v))
-        ids = self[word] = merged(word, self.v) if self.v.merges else short_path(word, self.v)
+        ids = tuple(stream((word,), self.v))
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
     def __call__(self, text: str) -> list[int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,15 @@ from tidelog.llm.common import table
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key; a session without one gets a random one, kept for its life."""
+    name = "spark.tidelog.pseudonym.secret"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
+
+
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -37,7 +46,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_found")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pseudonym_key(spark), count_col="n_found")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
