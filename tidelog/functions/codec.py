@@ -1,16 +1,10 @@
-"""Encodings as columns: keys with their numbers, integers, checksums, filters."""
+"""Encodings as columns: keys with their numbers, integers, shared prefixes."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The Castagnoli polynomial, bit-reversed, and the mask of stored checksums.
-_CASTAGNOLI, _MASK = 0x82F63B78, 0xA282EAD8
-
-
 def fixed64(x: Column) -> Column:
     """Eight bytes, big end first."""
     return F.unhex(F.lpad(F.hex(x), 16, "0"))
@@ -52,47 +46,8 @@ def uvarint(x: Column) -> Column:
     return F.unhex(F.array_join(parts, ""))
 
 
-def zigzag(x: Column) -> Column:
-    return F.shiftleft(x, 1).bitwiseXOR(F.shiftright(x, 63))
-
-
 def shared_prefix(a: Column, b: Column) -> Column:
     """How many leading characters two strings share."""
     n = F.least(F.length(a), F.length(b))
     same = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
     return F.array_max(same)
-
-
-def _table() -> np.ndarray:
-    t = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        t = np.where(t & 1, (t >> 1) ^ np.uint32(_CASTAGNOLI), t >> 1)
-    return t
-
-
-def masked_crc32c(payload: Column) -> Column:
-    """The stored form of a CRC32C: rotated right by 15 bits, plus the mask."""
-
-    def run(values: pd.Series) -> pd.Series:
-        table, raw = _table(), [v or b"" for v in values]
-        size = np.array([len(v) for v in raw])
-        crc = np.full(len(raw), 0xFFFFFFFF, np.uint32)
-        for i in range(int(size.max()) if len(raw) else 0):  # a byte of every value at a time
-            on = np.flatnonzero(size > i)
-            byte = np.fromiter((raw[j][i] for j in on), np.uint32, len(on))
-            crc[on] = table[(crc[on] ^ byte) & 0xFF] ^ (crc[on] >> np.uint32(8))
-        crc = (crc ^ np.uint32(0xFFFFFFFF)).astype(np.uint64)
-        return pd.Series(((((crc >> np.uint64(15)) | (crc << np.uint64(17))) + np.uint64(_MASK)) & np.uint64(0xFFFFFFFF)).astype(np.int64))
-
-    return F.pandas_udf(run, "long")(payload)
-
-
-def bloom_bits(key: Column, bits: int, probes: int) -> Column:
-    """The positions of a key in a filter of ``bits`` bits: double hashing of one digest."""
-    h = F.xxhash64(key)
-    low, high = F.pmod(h, F.lit(1 << 31)), F.pmod(F.shiftrightunsigned(h, 31), F.lit(1 << 31))
-    return F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.pmod(low + i * high, F.lit(bits)))
-
-
-def probes_for(bits_per_key: int) -> int:
-    return min(max(int(bits_per_key * 0.69), 1), 30)

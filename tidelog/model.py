@@ -1,9 +1,7 @@
-"""Kinds of records, schemas, options and errors."""
+"""Kinds of records, schemas and errors."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 #: Kinds of records.
 DELETION, VALUE, MERGE, RANGE_DELETION = 0, 1, 2, 3
 LOG_SCHEMA = "user_key string, seq long, kind int, value long"
@@ -14,18 +12,6 @@ class LogError(Exception):
     """Base of all errors."""
 
 
-class NotFound(LogError):
-    pass
-
-
-class Closed(LogError):
-    pass
-
-
-class Locked(LogError):
-    pass
-
-
 class EmptyKey(LogError):
     pass
 
@@ -34,10 +20,6 @@ class InvalidRange(LogError):
     pass
 
 
-class SnapshotReleased(LogError):
-    pass
-
-
 class InvalidScan(LogError):
     pass
 
@@ -46,48 +28,13 @@ class NoMergeOperator(LogError):
     pass
 
 
-class TargetNotEmpty(LogError):
+class SnapshotReleased(LogError):
     pass
 
 
 class Mismatch(LogError):
-    """A store opened under other names than it was made with."""
+    """A log opened under other operator names than it was made with."""
 
 
 class Conflict(LogError):
     """A checked commit whose check failed."""
-
-
-class BatchTooLarge(LogError):
-    pass
-
-
-@dataclass
-class Options:
-    """0 stands for the default.  Sizes are bytes."""
-
-    memtable_size: int = 64 << 20
-    l0_trigger: int = 4
-    level_base_size: int = 256 << 20
-    level_multiplier: int = 10
-    max_levels: int = 7
-    compression: str = "snappy"
-    merge_name: str | None = None
-    filter_name: str | None = None
-    batch_limit: int = 64 << 20
-
-    def __post_init__(self):
-        for f in fields(self):
-            if isinstance(f.default, int) and getattr(self, f.name) <= 0:
-                setattr(self, f.name, f.default)
-        if self.compression not in ("none", "snappy", "gzip", "zstd"):
-            raise LogError(f"unknown compression {self.compression!r}")
-        for k in ("l0_trigger", "level_multiplier", "max_levels"):
-            if getattr(self, k) < 2:
-                raise LogError(f"{k} is at least 2")
-
-    def level_capacity(self, level: int) -> int:
-        return 0 if level == 0 else self.level_base_size * self.level_multiplier ** (level - 1)
-
-    def file_size(self, level: int) -> int:
-        return min(max(self.level_capacity(max(level, 1)) // 100, 256 << 10), 64 << 20)

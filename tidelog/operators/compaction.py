@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.model import DELETION, MERGE, VALUE
-from tidelog.operators import resolve as resolve_module
-from tidelog.operators.resolve import SUM, Merge, resolve, uncovered
+from tidelog.operators.ordered import running
+from tidelog.operators.resolve import SUM, Merge, folded, resolve, uncovered
 
 COLUMNS = ("user_key", "seq", "kind", "value")
+#: Up to so many files of a level go to every task.
+LISTED_FILES = 64
 
 
 def compact(log: DataFrame, ranges: DataFrame, keep_from: int, merge: Merge = SUM, drop: Column | None = None, deeper: DataFrame | None = None) -> DataFrame:
@@ -32,14 +34,10 @@ def compact(log: DataFrame, ranges: DataFrame, keep_from: int, merge: Merge = SU
     marked = marked.where("base IS NULL OR seq >= base").withColumn("deep", F.coalesce("deep", F.lit(False)))
     open_end = F.col("base").isNull() & F.col("deep")
     passed = marked.where(open_end).select(*COLUMNS)
-    value = F.when(F.col("kind") != DELETION, F.col("value"))
-    folded = marked.where(~open_end).groupBy("user_key").agg(
-        F.max("seq").alias("seq"), merge.fold(F.col("seq"), F.col("kind"), value).alias("value"),
-        F.max(F.col("kind") != DELETION).alias("exists"), F.max("deep").alias("deep"),
-    )
+    kept = folded(marked.where(~open_end), merge, deep=F.col("deep"))
     gone = ~F.col("exists") if drop is None else ~F.col("exists") | drop
-    folded = folded.where(~gone | F.col("deep")).withColumn("kind", F.when(gone, DELETION).otherwise(VALUE)).withColumn("value", F.when(~gone, F.col("value")))
-    return newer.unionByName(passed).unionByName(folded.select(*COLUMNS))
+    kept = kept.where(~gone | F.col("deep")).withColumn("kind", F.when(gone, DELETION).otherwise(VALUE)).withColumn("value", F.when(~gone, F.col("value")))
+    return newer.unionByName(passed).unionByName(kept.select(*COLUMNS))
 
 
 def reasons(log: DataFrame, ranges: DataFrame, keep_from: int) -> DataFrame:
@@ -56,11 +54,15 @@ def reasons(log: DataFrame, ranges: DataFrame, keep_from: int) -> DataFrame:
 
 
 def retired(ranges: DataFrame, log: DataFrame, keep_from: int) -> DataFrame:
-    """The range deletions that may go: old enough, and no record left in their range."""
+    """The range deletions that may go: old enough, and no record left in their range.
+
+    Keys are counted in order; a range holds one if the counts before its two ends differ."""
     old = ranges.where(F.col("rseq") <= keep_from)
-    keys = log.select("user_key").distinct()
-    inside = keys.join(F.broadcast(old), (F.col("user_key") >= F.col("start_key")) & (F.col("user_key") < F.col("end_key"))).select("start_key", "end_key", "rseq").distinct()
-    return old.join(inside, ["start_key", "end_key", "rseq"], "left_anti")
+    ends = old.select(F.col("start_key").alias("user_key")).unionAll(old.select("end_key")).distinct()
+    every = log.select("user_key").distinct().select("user_key", F.lit(1).alias("is_key"), F.lit(1).alias("one"))
+    before = running(every.unionAll(ends.select("user_key", F.lit(0).alias("is_key"), F.lit(0).alias("one"))), ["user_key", "is_key"], "one", "n").where("is_key = 0")
+    side = lambda c, n: before.select(F.col("user_key").alias(c), F.col("n").alias(n))
+    return old.join(side("start_key", "first"), "start_key").join(side("end_key", "last"), "end_key").where("last <= first").select(*ranges.columns)
 
 
 def level_stats(files: DataFrame) -> DataFrame:
@@ -75,13 +77,15 @@ def overlapping(files: DataFrame, level: int, lower: str, upper: str) -> DataFra
 def find_file(files: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """Of sorted, disjoint files the one whose range has each key, or none.
 
-    A level of few files goes to every task; beyond that both are dealt by key range."""
+    A level of few files goes to every task; beyond that keys and files are put in order by key range."""
     own = files.where(F.col("level") == level).select("num", "smallest", "largest")
     inside = (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest"))
-    if own.limit(resolve_module.BROADCAST_RANGES + 1).count() <= resolve_module.BROADCAST_RANGES:
+    if own.limit(LISTED_FILES + 1).count() <= LISTED_FILES:
         return keys.join(F.broadcast(own), inside, "left").select("user_key", "num")
-    keyed, dealt = resolve_module.by_place(keys, "user_key", own, "smallest", "largest")
-    return keyed.join(dealt, (F.col("__place") == F.col("place")) & inside, "left").select("user_key", "num")
+    starts = own.select(F.col("smallest").alias("user_key"), F.lit(0).alias("is_key"), F.struct("num", "largest").alias("file"))
+    asked = keys.select("user_key").distinct().select("user_key", F.lit(1).alias("is_key"), F.lit(None).cast(starts.schema["file"].dataType).alias("file"))
+    found = running(starts.unionByName(asked), ["user_key", "is_key"], "file", "last", how="last").where("is_key = 1 AND user_key <= last.largest")
+    return keys.join(found.select("user_key", "last.num"), "user_key", "left").select("user_key", "num")
 
 
 def pick_l0(files: DataFrame, trigger: int = 4) -> DataFrame:

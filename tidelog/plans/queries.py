@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
-from tidelog.operators import compaction, reads
+from tidelog.operators import compaction, reads, writes
 from tidelog.operators.resolve import APPEND, MAX, MIN, SUM, chains, ordered_fold, resolve, uncovered
+from tidelog.operators.ordered import running
 from tidelog.plans import workload
+from tidelog.sources import tables
 from tidelog.sources.derived import event_log, key_of, order_files
+from tidelog.streaming import ingest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-S1, S2 = 502, 5000
+#: Snapshots, as parts of the newest number of the log.
+QUARTER, THIRD, HALF = 4, 3, 2
 
 LOG = """ev AS (SELECT event_id + 1 AS seq, printf('user%012d', user_id) AS user_key, CASE WHEN event_id % 1000 = 500 THEN 3
   WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type = 'error' THEN 0 ELSE 2 END AS kind,
@@ -24,6 +29,15 @@ log AS (SELECT user_key, seq, kind, value FROM ev WHERE kind <> 3),
 rd AS (SELECT user_key AS start_key, end_key, seq AS rseq FROM ev WHERE kind = 3)"""
 
 
+def at(spark, d, part: int) -> int:
+    """The snapshot at a part of the log's numbers."""
+    return (spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] + 1) // part
+
+
+def at_sql(part: int) -> str:
+    return f"(SELECT (max(event_id) + 1) // {part} FROM events)"
+
+
 def live_sql(s: str, name: str = "live", log: str = "log") -> str:
     return f"""{name} AS (SELECT * FROM {log} o WHERE seq <= {s} AND NOT EXISTS (SELECT 1 FROM rd r WHERE r.rseq <= {s}
   AND o.user_key >= r.start_key AND o.user_key < r.end_key AND o.seq < r.rseq))"""
@@ -54,9 +68,9 @@ def latest_view(spark, d):
     return _view(spark, d)
 
 
-@query(f"WITH {LOG}, {view_sql(str(S2))} SELECT user_key, seq, value FROM view_")
+@query(f"WITH {LOG}, {view_sql(at_sql(HALF))} SELECT user_key, seq, value FROM view_")
 def as_of_view(spark, d):
-    return _view(spark, d, S2)
+    return _view(spark, d, at(spark, d, HALF))
 
 
 _KEYS = "SELECT CAST(custkey AS BIGINT) AS idx, printf('user%012d', (custkey * 7) % 400) AS user_key FROM (SELECT c_custkey AS custkey FROM customer)"
@@ -116,14 +130,14 @@ def range_delete_view(spark, d):
     return log.select("user_key", "seq", "kind").exceptAll(uncovered(log, rd).select("user_key", "seq", "kind"))
 
 
-@query(f"WITH {LOG}, {live_sql(str(S1))} SELECT user_key, count(*) AS n, max(seq) AS seq FROM live GROUP BY user_key")
+@query(f"WITH {LOG}, {live_sql(at_sql(QUARTER))} SELECT user_key, count(*) AS n, max(seq) AS seq FROM live GROUP BY user_key")
 def range_delete_as_of(spark, d):
     log, rd = event_log(spark, d)
-    return uncovered(log, rd, S1).groupBy("user_key").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))
+    return uncovered(log, rd, at(spark, d, QUARTER)).groupBy("user_key").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))
 
 
-QUERIES["merge_sum"] = lambda spark, d: _view(spark, d, 7777)
-ORACLE_SQL["merge_sum"] = f"WITH {LOG}, {view_sql('7777')} SELECT * FROM view_"
+QUERIES["merge_sum"] = lambda spark, d: _view(spark, d, merge=SUM)
+ORACLE_SQL["merge_sum"] = f"WITH {LOG}, {view_sql()} SELECT * FROM view_"
 QUERIES["merge_max"] = lambda spark, d: _view(spark, d, merge=MAX)
 ORACLE_SQL["merge_max"] = f"WITH {LOG}, {view_sql(fold='max(CASE WHEN kind <> 0 THEN value END)')} SELECT * FROM view_"
 QUERIES["merge_min"] = lambda spark, d: _view(spark, d, merge=MIN)
@@ -134,7 +148,7 @@ ORACLE_SQL["merge_append"] = f"""WITH {LOG}, {view_sql(fold="string_agg(CASE WHE
 
 @query(f"WITH {LOG}, {view_sql(fold='CAST(sum(CASE WHEN kind = 1 THEN value WHEN kind = 2 THEN 2 * value END) AS BIGINT)')} SELECT * FROM view_")
 def merge_hof(spark, d):
-    twice = ordered_fold("twice", lambda a, x: a + F.when(x["k"] == 2, 2 * x["v"]).otherwise(x["v"]), F.lit(0).cast("long"))
+    twice = ordered_fold("twice", lambda a, x: a + F.when(x["k"] == 2, 2 * x["v"]).otherwise(x["v"]), F.lit(0).cast("long"), lambda a, b: a + b)
     return _view(spark, d, merge=twice)
 
 
@@ -143,11 +157,11 @@ def merge_chain_length(spark, d):
     return chains(uncovered(*event_log(spark, d))).groupBy("user_key", "base").agg(F.count(F.when(F.col("kind") == 2, 1)).alias("operands"))
 
 
-@query(f"WITH {LOG}, {view_sql(str(S1), name='a_')}, {view_sql(str(S2), name='b_')} SELECT coalesce(a_.user_key, b_.user_key) AS user_key, a_.value AS old_value, b_.value AS new_value FROM a_ FULL JOIN b_ ON a_.user_key = b_.user_key WHERE a_.seq IS DISTINCT FROM b_.seq")
+@query(f"WITH {LOG}, {view_sql(at_sql(QUARTER), name='a_')}, {view_sql(at_sql(HALF), name='b_')} SELECT coalesce(a_.user_key, b_.user_key) AS user_key, a_.value AS old_value, b_.value AS new_value FROM a_ FULL JOIN b_ ON a_.user_key = b_.user_key WHERE a_.seq IS DISTINCT FROM b_.seq")
 def snapshot_diff(spark, d):
     log, rd = event_log(spark, d)
-    a = resolve(log, rd, S1).select("user_key", F.col("seq").alias("a"), F.col("value").alias("old_value"))
-    b = resolve(log, rd, S2).select("user_key", F.col("seq").alias("b"), F.col("value").alias("new_value"))
+    a = resolve(log, rd, at(spark, d, QUARTER)).select("user_key", F.col("seq").alias("a"), F.col("value").alias("old_value"))
+    b = resolve(log, rd, at(spark, d, HALF)).select("user_key", F.col("seq").alias("b"), F.col("value").alias("new_value"))
     return a.join(b, "user_key", "full").where("NOT (a <=> b)").select("user_key", "old_value", "new_value")
 
 
@@ -159,16 +173,16 @@ def compact_full(spark, d):
     return compaction.compact(*event_log(spark, d), 10**9)
 
 
-@query(f"WITH {LOG}, {view_sql('3000')} {_COMPACT.format(s=3000)}")
+@query(f"WITH {LOG}, {view_sql(at_sql(THIRD))} {_COMPACT.format(s=at_sql(THIRD))}")
 def compact_keep_snapshot(spark, d):
-    return compaction.compact(*event_log(spark, d), 3000)
+    return compaction.compact(*event_log(spark, d), at(spark, d, THIRD))
 
 
-@query(f"""WITH {LOG}, {live_sql('3000')}, b AS (SELECT user_key, max(CASE WHEN kind <> 2 THEN seq END) AS base, max(seq) AS head FROM live GROUP BY user_key),
+@query(f"""WITH {LOG}, {live_sql(at_sql(THIRD))}, b AS (SELECT user_key, max(CASE WHEN kind <> 2 THEN seq END) AS base, max(seq) AS head FROM live GROUP BY user_key),
 m AS (SELECT l.*, v.seq IS NOT NULL AS is_live, b.base, b.head FROM log l LEFT JOIN live v ON l.seq = v.seq LEFT JOIN b ON l.user_key = b.user_key)
-SELECT CASE WHEN seq > 3000 THEN 'newer' WHEN NOT is_live THEN 'ranged' WHEN seq < base THEN 'covered' WHEN seq < head THEN 'folded' WHEN kind = 0 THEN 'deletion' ELSE 'kept' END AS reason, count(*) AS n FROM m GROUP BY 1""")
+SELECT CASE WHEN seq > {at_sql(THIRD)} THEN 'newer' WHEN NOT is_live THEN 'ranged' WHEN seq < base THEN 'covered' WHEN seq < head THEN 'folded' WHEN kind = 0 THEN 'deletion' ELSE 'kept' END AS reason, count(*) AS n FROM m GROUP BY 1""")
 def compact_drop_reasons(spark, d):
-    return compaction.reasons(*event_log(spark, d), 3000).groupBy("reason").agg(F.count("*").alias("n"))
+    return compaction.reasons(*event_log(spark, d), at(spark, d, THIRD)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 _LO, _HI = "user000000000020", "user000000000090"
@@ -181,14 +195,26 @@ def compact_range(spark, d):
     return log.where(~inside).unionByName(compaction.compact(log.where(inside), rd, 10**9))
 
 
-@query("SELECT CAST(7777 AS BIGINT) AS snapshot, CAST(0 AS BIGINT) AS differences UNION ALL SELECT 9000, 0 UNION ALL SELECT 1000000000, 0")
+_SMALL = f"{view_sql(at_sql(THIRD), name='c_')}, small AS (SELECT user_key, seq, kind, value FROM log WHERE seq > {at_sql(THIRD)} UNION ALL SELECT user_key, seq, 1, value FROM c_)"
+_LATER = {"third": at_sql(THIRD), "half": at_sql(HALF), "whole": at_sql(1)}
+
+
+@query(
+    f"WITH {LOG}, {_SMALL}, " + ", ".join(f"{view_sql(s, name=f'a{k}')}, {view_sql(s, name=f'b{k}', log='small')}" for k, s in _LATER.items()) + " "
+    + " UNION ALL ".join(f"SELECT '{k}' AS snapshot, (SELECT count(*) FROM b{k}) AS keys, (SELECT CAST(sum(value) AS BIGINT) FROM b{k}) AS total, (SELECT count(*) FROM ((SELECT * FROM a{k} EXCEPT SELECT * FROM b{k}) UNION ALL (SELECT * FROM b{k} EXCEPT SELECT * FROM a{k})) x) AS differences" for k in _LATER)
+)
 def compact_view_equality(spark, d):
+    """The views of a log and of its compaction, at the snapshot kept and later ones."""
     log, rd = event_log(spark, d)
-    small = compaction.compact(log, rd, 7777)
-    out = []
-    for s in (7777, 9000, 10**9):
+    third = at(spark, d, THIRD)
+    small, out = compaction.compact(log, rd, third), []
+    for k, part in {"third": THIRD, "half": HALF, "whole": 1}.items():
+        s = at(spark, d, part)
         a, b = resolve(log, rd, s), resolve(small, rd, s)
-        out.append(a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences")).select(F.lit(s).cast("long").alias("snapshot"), "differences"))
+        both = a.select("user_key", "seq", "value", F.lit(1).alias("side")).unionByName(b.select("user_key", "seq", "value", F.lit(2).alias("side")))
+        rows = both.groupBy("user_key", "seq", "value").agg(F.sum("side").alias("sides"))  # 3: in both
+        mine = F.col("sides") >= 2
+        out.append(rows.agg(F.count_if(mine).alias("keys"), F.sum(F.when(mine, F.col("value"))).alias("total"), F.count_if(F.col("sides") != 3).alias("differences")).select(F.lit(k).alias("snapshot"), "keys", "total", "differences"))
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
@@ -197,12 +223,12 @@ def compaction_filter_drop(spark, d):
     return compaction.compact(*event_log(spark, d), 10**9, drop=F.col("value") % 3 == 0)
 
 
-@query(f"WITH {LOG}, {view_sql('3000')} SELECT user_key, seq, kind, value FROM log WHERE seq > 3000 UNION ALL SELECT user_key, seq, 1, value FROM view_ WHERE NOT (value % 3 = 0)")
+@query(f"WITH {LOG}, {view_sql(at_sql(THIRD))} SELECT user_key, seq, kind, value FROM log WHERE seq > {at_sql(THIRD)} UNION ALL SELECT user_key, seq, 1, value FROM view_ WHERE NOT (value % 3 = 0)")
 def filter_min_snapshot(spark, d):
-    return compaction.compact(*event_log(spark, d), 3000, drop=F.col("value") % 3 == 0)
+    return compaction.compact(*event_log(spark, d), at(spark, d, THIRD), drop=F.col("value") % 3 == 0)
 
 
-_DELTA = "delta AS (SELECT * FROM log WHERE seq > 6000), deep AS (SELECT DISTINCT user_key FROM log WHERE seq <= 6000)"
+_DELTA = f"delta AS (SELECT * FROM log WHERE seq > {at_sql(HALF)}), deep AS (SELECT DISTINCT user_key FROM log WHERE seq <= {at_sql(HALF)})"
 _LEVELLED = f"""WITH {LOG}, {_DELTA}, {live_sql('1000000000', 'live', 'delta')}, t AS (SELECT l.*, max(CASE WHEN kind <> 2 THEN seq END) OVER (PARTITION BY l.user_key) AS base, d.user_key IS NOT NULL AS deep FROM live l LEFT JOIN deep d ON l.user_key = d.user_key),
 c AS (SELECT * FROM t WHERE base IS NULL OR seq >= base),
 f AS (SELECT user_key, max(seq) AS seq, CAST(sum(CASE WHEN kind <> 0 THEN value END) AS BIGINT) AS value, bool_or(kind <> 0) AS found, bool_or(deep) AS deep FROM c WHERE NOT (base IS NULL AND deep) GROUP BY user_key)
@@ -212,7 +238,8 @@ UNION ALL SELECT user_key, seq, CASE WHEN {{gone}} THEN 0 ELSE 1 END, CASE WHEN
 
 def _levelled(spark, d, drop=None):
     log, rd = event_log(spark, d)
-    return compaction.compact(log.where("seq > 6000"), rd, 10**9, drop=drop, deeper=log.where("seq <= 6000"))
+    half = at(spark, d, HALF)
+    return compaction.compact(log.where(F.col("seq") > half), rd, 10**9, drop=drop, deeper=log.where(F.col("seq") <= half))
 
 
 @query(_LEVELLED.format(gone="NOT found"))
@@ -225,11 +252,15 @@ def filter_on_flush(spark, d):
     return _levelled(spark, d, F.col("value") % 3 == 0)
 
 
-@query(f"""WITH {LOG}, {view_sql('3000')}, c AS ({_COMPACT.format(s=3000)}) SELECT start_key, end_key, rseq FROM rd r WHERE rseq <= 3000
-AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_key >= r.start_key AND c.user_key < r.end_key)""")
+@query(f"""WITH {LOG}, w AS (SELECT user_key || '/9' AS start_key, user_key || '/9z' AS end_key, rseq FROM (SELECT start_key AS user_key, rseq FROM rd) UNION ALL SELECT * FROM rd),
+{view_sql(at_sql(HALF))}, c AS ({_COMPACT.format(s=at_sql(HALF))}) SELECT start_key, end_key, rseq FROM w WHERE rseq <= {at_sql(HALF)}
+AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_key >= w.start_key AND c.user_key < w.end_key)""")
 def tombstone_retirement(spark, d):
+    """Of the range deletions and as many over empty stretches between keys, those that hold no record after compaction."""
     log, rd = event_log(spark, d)
-    return compaction.retired(rd, compaction.compact(log, rd, 3000), 3000)
+    half = at(spark, d, HALF)
+    narrow = rd.select(F.concat("start_key", F.lit("/9")).alias("start_key"), F.concat("start_key", F.lit("/9z")).alias("end_key"), "rseq")
+    return compaction.retired(rd.unionByName(narrow), compaction.compact(log, rd, half), half)
 
 
 # batches: 64 consecutive events are one batch; a group of writers is 4 batches
@@ -237,9 +268,8 @@ def tombstone_retirement(spark, d):
 def batch_seq_assign(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("event_id div 64").alias("batch"))
     sizes = e.groupBy("batch").agg(F.count("*").alias("n"))
-    # numbers run within a batch; a batch begins after all batches before it (one row a batch)
-    start = F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("batch", (F.coalesce(start, F.lit(0)) + 1).alias("first_seq"), (F.coalesce(start, F.lit(0)) + F.col("n")).alias("last_seq"), "n")
+    # numbers run within a batch; a batch begins after all batches before it
+    return running(sizes, ["batch"], "n", "last_seq").select("batch", (F.col("last_seq") - F.col("n") + 1).alias("first_seq"), "last_seq", "n")
 
 
 @query(f"WITH {LOG} SELECT user_key, (seq - 1) // 64 AS batch, max(seq) AS seq, arg_max(kind, seq) AS kind, arg_max(value, seq) AS value FROM log GROUP BY 1, 2")
@@ -364,28 +394,11 @@ def shared_prefix_len(spark, d):
     return p.select("k", codec.shared_prefix(F.col("k"), F.col("b")).cast("long").alias("shared"))
 
 
-@query()
-def crc32c_masked(spark, d):
-    log, _ = event_log(spark, d)
-    payload = codec.internal_key(F.col("user_key"), F.col("seq"), F.col("kind"))
-    return log.select("seq", codec.masked_crc32c(payload).alias("checksum"))
-
-
-@query()
-def bloom_probe(spark, d):
-    """Keys of part as members; keys of customer that the filter lets through."""
-    bits, probes = 1 << 16, codec.probes_for(10)
-    key = lambda c: F.format_string("k%d", c)
-    members = spark.read.parquet(f"{d}/part.parquet").select(F.explode(codec.bloom_bits(key(F.col("p_partkey")), bits, probes)).alias("bit")).distinct()
-    asked = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.explode(codec.bloom_bits(key(F.col("c_custkey") * 3), bits, probes)).alias("bit"))
-    hits = asked.join(F.broadcast(members), "bit", "left_semi").groupBy("c_custkey").agg(F.count("*").alias("hits"))  # members: 65,536 bits at most
-    return hits.where(F.col("hits") == probes).select("c_custkey")
-
-
-@query(f"WITH {LOG}, {view_sql(str(S2))} SELECT user_key, seq, value FROM view_")
+@query(f"WITH {LOG}, {view_sql(at_sql(HALF))} SELECT user_key, seq, value FROM view_")
 def checkpoint_view(spark, d):
+    """A checkpoint of half of the log, written to the shared folder and opened there."""
     log, rd = event_log(spark, d)
-    return resolve(log.where(F.col("seq") <= S2), rd.where(F.col("rseq") <= S2))
+    return resolve(*tables.opened(spark, tables.checkpoint(log, rd, at(spark, d, HALF))))
 
 
 @query(f"WITH {LOG}, x AS (SELECT * FROM log WHERE (seq - 1) // 64 < (SELECT count(*) // 64 FROM events)), {view_sql(log='x')} SELECT user_key, seq, value FROM view_")
@@ -396,4 +409,83 @@ def recovery_truncated_tail(spark, d):
     return resolve(log.where(F.expr("(seq - 1) div 64") < last), rd)
 
 
+_BATCH = f"""bt AS (SELECT o_orderkey AS "at", printf('user%012d', o_custkey) AS user_key, CAST(round(o_totalprice) AS BIGINT) AS value,
+  CASE WHEN o_orderkey % 50 = 7 THEN 'delete_range' WHEN o_orderstatus = 'F' THEN 'put' WHEN o_orderpriority LIKE '1%' THEN 'delete' ELSE 'merge' END AS op FROM orders),
+nb AS (SELECT *, row_number() OVER (ORDER BY "at") + {at_sql(1)} AS seq FROM bt),
+log2 AS (SELECT * FROM log UNION ALL SELECT user_key, seq, CASE op WHEN 'put' THEN 1 WHEN 'delete' THEN 0 ELSE 2 END, CASE WHEN op <> 'delete' THEN value END FROM nb WHERE op <> 'delete_range'),
+rd2 AS (SELECT * FROM rd UNION ALL SELECT user_key, user_key || '~', seq FROM nb WHERE op = 'delete_range')"""
+_WRITTEN = view_sql(name="x_", log="log2").replace("FROM rd r", "FROM rd2 r")
+
+
+def _batch(spark, d) -> DataFrame:
+    """A batch of one request for each row of ``orders``."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    key = key_of(F.col("o_custkey"))
+    op = F.when(F.col("o_orderkey") % 50 == 7, "delete_range").when(F.col("o_orderstatus") == "F", "put").when(F.col("o_orderpriority").startswith("1"), "delete").otherwise("merge")
+    return o.select(F.col("o_orderkey").alias("at"), op.alias("op"), key.alias("user_key"), F.round("o_totalprice").cast("long").alias("value"), F.concat(key, F.lit("~")).alias("end_key"))
+
+
+@query(f"WITH {LOG}, {_BATCH} SELECT user_key, seq, CASE op WHEN 'put' THEN 1 WHEN 'delete' THEN 0 WHEN 'merge' THEN 2 ELSE 3 END AS kind, CASE WHEN op IN ('put', 'merge') THEN value END AS value FROM nb")
+def write_batch(spark, d):
+    """The numbered records of a batch of puts, deletes, merges and range deletions."""
+    return writes.numbered(_batch(spark, d), writes.last_seq(*event_log(spark, d))).drop("end_key")
+
+
+@query(f"WITH {LOG}, {_BATCH}, {_WRITTEN} SELECT user_key, seq, value FROM x_")
+def write_batch_view(spark, d):
+    """What the log says after that batch."""
+    return resolve(*writes.write(*event_log(spark, d), _batch(spark, d)))
+
+
+@query("""SELECT o_orderkey AS "at", CASE WHEN o_orderkey % 7 = 0 THEN 'EmptyKey' WHEN o_orderkey % 50 = 7 AND o_orderkey % 2 = 1 THEN 'InvalidRange' WHEN NOT (o_orderkey % 50 = 7 OR o_orderstatus = 'F' OR o_orderpriority LIKE '1%') THEN 'NoMergeOperator' END AS error FROM orders""")
+def write_errors(spark, d):
+    """What is wrong with each request of a batch against a log without merge operator."""
+    broken = _batch(spark, d).withColumn("user_key", F.when(F.col("at") % 7 == 0, "").otherwise(F.col("user_key")))
+    broken = broken.withColumn("end_key", F.when(F.col("at") % 2 == 1, F.col("user_key")).otherwise(F.col("end_key")))
+    return broken.select("at", writes.error_of(merges=False).alias("error"))
+
+
+@query(f"""WITH {LOG}, {view_sql()}, {view_sql(at_sql(HALF), name='h_')}, rs AS (SELECT 'user' || printf('%012d', c_custkey) AS user_key FROM customer)
+SELECT rs.user_key, coalesce(h_.seq, 0) AS seq, coalesce(v.seq, 0) AS now FROM rs LEFT JOIN h_ ON h_.user_key = rs.user_key LEFT JOIN view_ v ON v.user_key = rs.user_key WHERE coalesce(h_.seq, 0) <> coalesce(v.seq, 0)""")
+def checked_commit(spark, d):
+    """What a commit that read its keys at half of the log finds changed at the end."""
+    log, rd = event_log(spark, d)
+    keys = spark.read.parquet(f"{d}/customer.parquet").select(key_of(F.col("c_custkey")).alias("user_key"), F.lit(0).alias("idx"))
+    read = reads.get_for_update(resolve(log, rd, at(spark, d, HALF)), keys).select("user_key", "seq")
+    return writes.checked(resolve(log, rd), read)
+
+
+@query(f"WITH {LOG} SELECT CAST(2 AS BIGINT) AS live_snapshots, (SELECT count(*) FROM rd) AS range_deletions, {at_sql(1)} AS last_seq")
+def log_statistics(spark, d):
+    log, rd = event_log(spark, d)
+    live = [writes.Snapshot(log, rd, at(spark, d, part)) for part in (QUARTER, THIRD, HALF)]
+    live[0].release()
+    return writes.statistics(log, rd, live)
+
+
+@query(f"WITH {LOG}, {view_sql()} SELECT user_key, seq, value FROM view_")
+def streamed_log_view(spark, d):
+    """The latest view of the log that a stream of ``events`` as write requests leaves."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parq*")
+    op = F.when(F.col("event_id") % 1000 == 500, "delete_range").when(F.col("event_type").isin("signup", "view"), "put").when(F.col("event_type") == "error", "delete").otherwise("merge")
+    asked = e.select(F.col("event_id").alias("at"), op.alias("op"), key_of(F.col("user_id")).alias("user_key"), F.round(F.col("value") * 100).cast("long").alias("value"), key_of(F.col("user_id") + 5).alias("end_key"))
+    path = f"{tables.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream.ingest(asked, f"{path}/log", f"{path}/progress").awaitTermination()
+    return resolve(*stream.log_of(spark, f"{path}/log"))
+
+
+@query(f"WITH {LOG}, {view_sql()} SELECT user_key, seq, value FROM view_ WHERE reverse(user_key) >= reverse('user000000000040') AND reverse(user_key) < reverse('user000000000007')")
+def custom_order_scan(spark, d):
+    """A scan in the order of keys read backwards."""
+    return reads.scan(_view(spark, d), "user000000000040", "user000000000007", order=F.reverse)
+
+
+@query(f"WITH {LOG}, {view_sql()}, keys AS ({_KEYS}), k2 AS (SELECT idx, CASE WHEN idx % 10 = 0 THEN '' ELSE user_key END AS user_key FROM keys) SELECT idx, k.user_key, seq, value, CASE WHEN k.user_key = '' THEN 'EmptyKey' END AS error FROM k2 k LEFT JOIN view_ v ON k.user_key = v.user_key")
+def multi_get_slots(spark, d):
+    """A batch of keys, some of them empty: these fail alone."""
+    keys = _keys(spark, d).withColumn("user_key", F.when(F.col("idx") % 10 == 0, "").otherwise(F.col("user_key")))
+    return reads.multi_get(_view(spark, d), keys, errors=True)
+
+
 workload.register(QUERIES, ORACLE_SQL, LOG, view_sql)

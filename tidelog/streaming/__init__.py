@@ -1 +1 @@
-"""See the README for what is here."""
+"""Streams of write requests into a log."""
