@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import tempfile
 import time
 from collections import Counter, defaultdict
 
@@ -103,6 +104,37 @@ def test_op3_rules(spark):
     assert got[7] == got[8] == ("", "", None, "allow") and got[9][2] is None
 
 
+def test_op3_against_brute_force(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    part = lambda: str(rnd.choice(["a", "b", "example", "net", "com", "org", "de", "bad-host", "xxx", "fr"]))
+    urls_ = [f"http{'s' * (i % 2)}://{'.'.join(part() for _ in range(rnd.integers(1, 5)))}{rnd.choice(['', '/', '/en/x', '/fr/', '/de/?q=/en/', '#/fr/'])}" for i in range(600)]
+    urls_ += [None, "", "://", "no scheme", "http://" + "x." * 50_000 + "net/" + "y" * 100_000, "HTTP://A.NET/", "http://a.net/"] * 2
+    listed = [f"site{i}.com" for i in range(3000)] + ["b.com", "bad", None]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("verdict", F.lit("x")).withColumn("k.ey", F.lit(1))
+    table = spark.createDataFrame([(x,) for x in listed], "entry string")
+
+    def brute(url, words):
+        host, path = urls.host_and_path(url)
+        fits = [(r, v) for r, v in urls.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        if fits:
+            return max(fits, key=lambda x: len(x[0]))
+        keys = {*re.split("[.-]", host), *(host.split(".", i)[-1] for i in range(host.count(".") + 1) if host)}
+        return None, "block" if keys & words else "allow"
+
+    for extra in (None, table):
+        words = {*urls.BAD_WORDS, *(x for x in listed if x and extra is not None)}
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, listed=extra).collect()}
+        assert got == {i: brute(u, words) for i, u in enumerate(urls_)}
+    assert urls.judge(none_of(df)).count() == 0
+    # digests that collide are told apart by their strings
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: len(b))
+    data = urls.packed({"aa": True, "bb": False, "c": True})
+    with tempfile.NamedTemporaryFile() as f:
+        f.write(data)
+        f.flush()
+        assert urls.DigestArray(f.name).find(["bb", "aa", "cc", "c", "d"]).tolist() == [0, 1, -1, 1, -1]
+
+
 def test_op4_brute_force(spark, docs, odd):
     base = [f"w{i}" for i in range(120)]
     near = [(10_000 + i, " ".join(base[:i] + [f"z{i}"] + base[i + 1 :])) for i in range(0, 120, 2)]
@@ -279,7 +311,9 @@ def test_op7_same_as_the_library(spark, docs, odd):
     want = {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect()}
     assert {r.doc_id: r.n_tokens for r in bpe_count.token_counts(df, BYTES).collect()} == want
     assert bpe_count.token_counts(odd, BYTES).where("doc_id = 1 AND n_bytes = 0 AND n_tokens = 0 AND NOT over_limit").count() == 1
-    assert bpe_count.Counter(json.load(open(BYTES)))("") == 0
+    assert bpe_count.Counter(json.load(open(BYTES)))("") == 0 and bpe_count.token_counts(none_of(odd), BYTES).count() == 0
+    with pytest.raises(ValueError):
+        bpe_count.Counter(json.load(open(public_tokenizers.path("word_bpe_49k.json"))))
 
 
 def test_op8_base_spans(spark, docs, odd):

@@ -6,8 +6,10 @@ lowest is popped and merged until none is left.  The count is the initial symbol
 the merges; no identifiers are made.  Parts repeat, so each task keeps a bounded memo of
 their counts.
 
+A file that splits or normalises in another way than byte-level vocabularies do is refused.
+
 Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows give repeated rows, an
-empty table an empty result, other columns do not matter.
+empty table an empty result, other columns do not matter; texts may have any length.
 """
 
 from __future__ import annotations
@@ -24,6 +26,12 @@ from tidelog.llm.common import MEMO, with_text_columns
 #: Fixed value: the splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: What a file may say, where it says anything.
+_KNOWN = {
+    "pre_tokenizer": {"add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": 0.0, "continuing_subword_prefix": "", "end_of_word_suffix": "", "ignore_merges": False},
+}
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -74,6 +82,9 @@ class Counter:
     """Counts tokens as the ``tokenizers`` library does for a byte-level BPE file."""
 
     def __init__(self, vocabulary: dict):
+        unlike = [f"{part}.{k}" for part, own in _KNOWN.items() for k, v in own.items() if (vocabulary.get(part) or {}).get(k) not in (v, None)]
+        if unlike or vocabulary.get("normalizer") or (vocabulary.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+            raise ValueError(f"not a plain byte-level vocabulary: {unlike or 'normalizer or pre_tokenizer'}")
         pairs = (p if isinstance(p, list) else p.split(" ") for p in vocabulary["model"]["merges"])
         self.parts = PartCounts({tuple(p): i for i, p in enumerate(pairs)})
         self.find = regex.compile(SPLIT).findall

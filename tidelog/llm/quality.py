@@ -10,7 +10,8 @@ least ``slack``) outside the quartiles.
 Null language or source forms a group of its own.  Null and empty texts have no words and fail
 the fixed rules.  A group of fewer than ``least`` documents with words is measured by the fences of
 its language over all sources, and a language of fewer by those of all rows, whatever
-their number.
+their number.  Repeated rows are measured and judged each; an empty table gives an empty result; texts may have any
+length; other columns do not matter.
 """
 
 from __future__ import annotations

@@ -7,9 +7,13 @@ urls are looked up in one vectorised binary search; a hit counts only if the sto
 equals the key, so digests that collide do no harm.
 
 A rule fits its host and subdomains if the path starts with the rule's path; the longest rule
-wins.  Where none fits, a url is blocked if a part of its host (split at dots and hyphens) is a
-listed word, else allowed.  Null urls and urls without ``://`` have an empty host and path and
-are allowed.  Rules: later ones replace equal earlier ones.
+wins.  Where none fits, a url is blocked if a part of its host (split at dots and hyphens), the host or one of its parent domains is
+listed, else allowed.  Null urls and urls without ``://`` have an empty host and path and
+are allowed.  Rules: later ones replace equal earlier ones.  Repeated rows are judged each, an empty table gives an empty result, urls may have any
+length, other columns do not matter.
+
+A list of hosts and words may also be a table: Spark digests and sorts it, and its rows pass through the driver one by one into the file, so
+its size is bounded by an executor's disk alone.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import shared_dir, with_text_columns
+from tidelog.llm.common import shared_dir, with_text_columns, written
 
 #: The rules of the query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -41,6 +47,16 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_UPPER), m[2]) if m else ("", "")
 
 
+def host_ends(host: str, longest: int) -> list[str]:
+    """The host and its parent domains, but for those longer than any key."""
+    ends, at = [], len(host)
+    while at > 0 and len(host) - at <= longest:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 <= longest:
+            ends.append(host[at + 1 :])
+    return ends
+
+
 def packed(entries: dict[str, bool]) -> bytes:
     """The file: a count, the sorted heads, the strings."""
     keys = sorted((xxhash.xxh64_intdigest(k.encode()), k) for k in entries)
@@ -54,6 +70,31 @@ def packed(entries: dict[str, bool]) -> bytes:
     return np.uint64(len(keys)).tobytes() + heads.tobytes() + text
 
 
+def digested(listed: DataFrame, entries: dict[str, bool]) -> DataFrame:
+    """digest (as text of fixed width, so that it sorts unsigned), key, block of all keys in order; an entry overrides a listed key."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{xxhash.xxh64_intdigest(k.encode()):016x}" for k in keys]), batch.column(0), batch.column(1)], ["digest", "key", "block"])
+
+    own = listed.sparkSession.createDataFrame([(k, v) for k, v in entries.items()], "key string, block boolean")
+    keys = listed.where("key IS NOT NULL").select("key", F.lit(True).alias("block")).join(F.broadcast(own.select("key")), "key", "left_anti").distinct().unionAll(own)
+    return keys.mapInArrow(run, "digest string, key string, block boolean").orderBy("digest", "key")
+
+
+def packed_rows(rows: DataFrame):
+    """The parts of the file, from sorted rows read in two passes, a partition at a time."""
+    rows = written(rows, "urls").orderBy("digest", "key")
+    yield np.uint64(rows.count()).tobytes()
+    offset = 0
+    for r in rows.select("digest", F.octet_length("key").alias("size"), "block").toLocalIterator():
+        yield np.array((int(r["digest"], 16), offset, r["size"], r["block"]), _HEAD).tobytes()
+        offset += r["size"]
+    for r in rows.select("digest", "key").toLocalIterator():
+        yield r["key"].encode()
+
+
 class DigestArray:
     def __init__(self, path: str):
         whole = np.memmap(path, np.uint8, "r")
@@ -80,25 +121,33 @@ class DigestArray:
         return found
 
 
-def distribute(spark: SparkSession, entries: dict[str, bool]) -> str:
-    """Writes the file to the shared folder and has Spark hand it to the executors; its name."""
+def distribute(spark: SparkSession, entries: dict[str, bool], listed: DataFrame | None = None) -> str:
+    """Writes the file to the shared folder and has Spark hand it to the executors; its name.
+
+    ``listed``: further keys (column key), all to be blocked."""
     file = f"urls-{uuid.uuid4().hex}.bin"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{file}")
     out = path.getFileSystem(conf).create(path)
-    out.write(packed(entries))
+    if listed is None:
+        out.write(packed(entries))
+    else:
+        for block in packed_rows(digested(listed, entries)):
+            out.write(block)
     out.close()
     spark.sparkContext.addFile(path.toString())
     return file
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str]] = RULES, words: Iterable[str] = BAD_WORDS) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str]] = RULES, words: Iterable[str] = BAD_WORDS, listed: DataFrame | None = None) -> DataFrame:
     """``id_col``, host, path, rule and verdict for each row.
 
-    Rules and words are given by the caller and pass through the driver as the one file."""
+    Rules and words are given by the caller; ``listed`` is a table (column entry) of further words of hosts and whole hosts to be blocked."""
     rules, words = dict(rules), list(words)
     entries = {r: v == "block" for r, v in rules.items()} | {f"//{w}": True for w in words}
-    file = distribute(df.sparkSession, entries)
+    keyed = None if listed is None else listed.select(F.concat(F.lit("//"), F.lower("entry")).alias("key"))
+    file = distribute(df.sparkSession, entries, keyed)
+    longest = max([len(r) for r in rules] + [len(w) for w in words] + ([] if listed is None else [listed.agg(F.max(F.length("entry"))).first()[0] or 0]), default=0)
     lengths = sorted({len(r) - r.index("/") for r in rules})
 
     def make():
@@ -109,10 +158,9 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: I
             keys: list[str] = []
             owner: list[int] = []
             for i, (host, path) in enumerate(split):
-                names = host.split(".") if host else []
-                ends = [".".join(names[j:]) for j in range(len(names))]
+                ends = host_ends(host, longest)
                 own = [e + path[:n] for e in ends for n in lengths if n <= len(path)]
-                own += [f"//{w}" for w in set(re.split(r"[.-]", host)) if w]
+                own += [f"//{w}" for w in {*re.split(r"[.-]", host), *ends} if 0 < len(w) <= longest]
                 keys += own
                 owner += [i] * len(own)
             rule: list[str | None] = [None] * len(urls)
