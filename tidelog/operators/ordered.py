@@ -6,7 +6,7 @@ of one row a range carries the sums on."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 PLACES = 256
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def searched(value: Column, cuts: list[Column]) -> Column:
     """How many of the ascending ``cuts`` are at most ``value``: a search in two steps of about sqrt(len(cuts))."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts) - 1) + 1
-    before = lambda found: F.size(F.filter(found, lambda x: x <= value))
-    group = before(F.array(*cuts[step - 1 :: step]))
-    return group * step + before(F.slice(F.array(*cuts), group * step + 1, step))
+    before = lambda found, v: F.size(F.filter(found, lambda x: x <= v))
+    inside = lambda v, group: group * step + before(F.slice(F.array(*cuts), group * step + 1, step), v)
+    return _bound(value, lambda v: _bound(before(F.array(*cuts[step - 1 :: step]), v), lambda group: inside(v, group)))
 
 
 def place_of(df: DataFrame, order: Sequence[str], places: int = PLACES) -> Column:

@@ -123,7 +123,7 @@ def with_cover(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) -
 
 def uncovered(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The records that no range deletion up to the snapshot covers."""
-    return with_cover(log, ranges, snapshot).where("cover IS NULL OR seq >= cover").select(*log.columns)
+    return with_cover(log, ranges, snapshot).where("coalesce(seq >= cover, true)").select(*log.columns)
 
 
 def chains(live: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _op(mix: str, roll: Column) -> Column:
 
 
 def requests(spark, d: str, mix: str) -> DataFrame:
-    """id, op, user_key and w (writes up to and with it) of each request, drawn from the id alone.
+    """id, op and user_key of each request, drawn from the id alone.
 
     Keys are drawn from all that the table has, the first ones most often (a power law); inserts make new keys after them,
     read_latest draws from the newest of what is there by then."""
@@ -47,15 +47,14 @@ def requests(spark, d: str, mix: str) -> DataFrame:
     drawn = e.select(F.col("event_id").alias("id")).select("id", _op(mix, _digest(F.col("id"), 7919) % 100).alias("op"), _digest(F.col("id"), 104729).alias("draw"))
     low = keys ** (1 - ZIPF)
     zipf = F.floor(F.pow((F.lit(low) - 1) * (F.col("draw") / 1000003) + 1, F.lit(1 / (1 - ZIPF)))).cast("long") - 1
-    if not set(MIXES[mix]) & set(WRITES):
-        return drawn.select("id", "op", key_of(F.least(zipf, F.lit(keys - 1))).alias("user_key"), F.lit(0).cast("long").alias("w"))
-    flags = {"w": F.col("op").isin(*WRITES), "inserts": F.col("op") == "insert"}
-    flagged = drawn.select("*", *(c.cast("long").alias(f"is_{k}") for k, c in flags.items()))
+    if "insert" not in MIXES[mix]:
+        return drawn.select("id", "op", key_of(F.least(zipf, F.lit(keys - 1))).alias("user_key"))
     # ids are dense: key ranges of equal width
-    counted = running(flagged, ["id"], "is_w", "w", place=F.expr(f"id div {last // PLACES + 1}"), more={"inserts": "is_inserts"})
+    flagged = drawn.withColumn("is_insert", (F.col("op") == "insert").cast("long"))
+    counted = running(flagged, ["id"], "is_insert", "inserts", place=F.expr(f"id div {last // PLACES + 1}"))
     newest = F.lit(keys) + F.col("inserts")
     key = F.when(F.col("op") == "insert", newest - 1).when(F.col("op") == "read_latest", newest - 1 - F.col("draw") % F.least(newest, F.lit(LATEST_KEYS))).otherwise(F.least(zipf, F.lit(keys - 1)))
-    return counted.select("id", "op", key_of(key).alias("user_key"), "w")
+    return counted.select("id", "op", key_of(key).alias("user_key"))
 
 
 def requests_sql(mix: str) -> str:
@@ -64,15 +63,16 @@ def requests_sql(mix: str) -> str:
         upto += percent
         cases.append(f"WHEN (event_id * 7919 + 12345) % 1000003 % 100 < {upto} THEN '{k}'")
     return f"""kn AS (SELECT max(user_id) + 1 AS k FROM events), dr AS (SELECT event_id AS id, CASE {' '.join(cases)} END AS op, (event_id * 104729 + 12345) % 1000003 AS draw FROM events),
-ct AS (SELECT *, CAST(count(*) FILTER (op IN ('update', 'insert', 'rmw')) OVER (ORDER BY id) AS BIGINT) AS w, CAST(count(*) FILTER (op = 'insert') OVER (ORDER BY id) AS BIGINT) AS ins FROM dr),
-rq AS (SELECT id, op, w, printf('user%012d', CASE WHEN op = 'insert' THEN k + ins - 1 WHEN op = 'read_latest' THEN k + ins - 1 - draw % least(k + ins, {LATEST_KEYS})
+ct AS (SELECT *, CAST(count(*) FILTER (op = 'insert') OVER (ORDER BY id) AS BIGINT) AS ins FROM dr),
+rq AS (SELECT id, op, printf('user%012d', CASE WHEN op = 'insert' THEN k + ins - 1 WHEN op = 'read_latest' THEN k + ins - 1 - draw % least(k + ins, {LATEST_KEYS})
   ELSE least(CAST(floor(pow((pow(k, {1 - ZIPF!r}) - 1) * (CAST(draw AS DOUBLE) / 1000003) + 1, {1 / (1 - ZIPF)!r})) AS BIGINT) - 1, k - 1) END) AS user_key FROM ct, kn)"""
 
 
 def point_mix(spark, d: str, mix: str) -> DataFrame:
     """By kind of request: how many, how many found their key by then, and how many wrote what is a key's newest value in the end.
 
-    Writes are appended to the log, which is resolved again; a request sees the writes of all before it."""
+    Writes are appended to the log, numbered after it in the order of requests, and the log is resolved again; a request sees the writes of
+    all before it."""
     log, ranges = event_log(spark, d)
     asked = requests(spark, d, mix)
     view = resolve(log, ranges).select("user_key", F.lit(True).alias("there"))
@@ -80,7 +80,7 @@ def point_mix(spark, d: str, mix: str) -> DataFrame:
     if not set(MIXES[mix]) & set(WRITES):
         return by_key.groupBy("op").agg(F.count("*").alias("n"), F.count("there").alias("hits"), F.lit(0).cast("long").alias("newest"))
     last = spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] + 1
-    written = asked.where(F.col("op").isin(*WRITES)).select("user_key", (F.col("w") + last).alias("seq"), F.lit(VALUE).alias("kind"), F.col("id").alias("value"), "op")
+    written = asked.where(F.col("op").isin(*WRITES)).select("user_key", (F.col("id") + last + 1).alias("seq"), F.lit(VALUE).alias("kind"), F.col("id").alias("value"), "op")
     first = written.groupBy("user_key").agg(F.min("value").alias("first"))
     hit = F.col("there").isNotNull() | (F.col("first") < F.col("id"))
     seen = by_key.join(first, "user_key", "left").groupBy("op").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
@@ -91,7 +91,7 @@ def point_mix(spark, d: str, mix: str) -> DataFrame:
 
 def point_mix_sql(log: str, view, mix: str) -> str:
     return f"""WITH {log}, {view()}, {requests_sql(mix)}, la AS (SELECT max(event_id) + 1 AS last FROM events),
-wr AS (SELECT user_key, w + last AS seq, 1 AS kind, id AS value, op FROM rq, la WHERE op IN ('update', 'insert', 'rmw')), fi AS (SELECT user_key, min(value) AS first FROM wr GROUP BY 1),
+wr AS (SELECT user_key, id + last + 1 AS seq, 1 AS kind, id AS value, op FROM rq, la WHERE op IN ('update', 'insert', 'rmw')), fi AS (SELECT user_key, min(value) AS first FROM wr GROUP BY 1),
 log2 AS (SELECT * FROM log UNION ALL SELECT user_key, seq, kind, value FROM wr), {view(name='after_', log='log2')},
 ne AS (SELECT wr.op, count(*) AS newest FROM wr JOIN after_ a ON a.user_key = wr.user_key AND a.seq = wr.seq GROUP BY 1),
 se AS (SELECT op, count(*) AS n, count(*) FILTER (v.user_key IS NOT NULL OR first < id) AS hits FROM rq LEFT JOIN view_ v ON rq.user_key = v.user_key LEFT JOIN fi ON rq.user_key = fi.user_key GROUP BY 1)
