@@ -42,6 +42,8 @@ LONG = 16
 MORE = 10
 #: Bits of the filter of live sets, at most.
 FILTER = 1 << 27
+#: Bits of the filter of rows that may be copies.
+SIFT = 1 << 24
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHash) -> np.ndarray:
@@ -277,7 +279,15 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = F.expr("min(named_struct('unnamed', doc_id IS NULL, 'doc_id', doc_id, 'row', row, 'm', m))").alias("one")
     of_class = by_row.where("label IS NOT NULL").groupBy("label").agg(one).select("one.row", "one.m")
     chosen = scratch.put(of_class.unionAll(by_row.where("label IS NULL").select("row", "m")).withColumnRenamed("row", key), "chosen")
-    keyed = df.withColumn(key, row_key(id_col, text_col))
-    single = keyed.join(chosen.where("m = 1"), key, "left_semi")
-    many = keyed.join(chosen.where("m > 1"), key, "left_semi").dropDuplicates([key])
-    return single.unionAll(many).select(*map(name, df.columns))
+    # rows that may not be kept singly set a bit of a filter of SIFT bits; the others need no shuffle
+    others = by_row.select(F.col("row").alias(key)).join(chosen.where("m = 1"), key, "left_anti")
+    bit, word = F.pmod(F.col(key), F.lit(SIFT)), fresh([*df.columns, key], "word")
+    words = others.groupBy(F.floor(bit / 64).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")).alias("bits"))
+    words = F.broadcast(scratch.put(words, "words").select(word, F.col("bits").alias(f"{word}_bits")))  # SIFT / 64 rows at most
+    keyed = df.withColumn(key, row_key(id_col, text_col)).withColumn(word, F.floor(bit / 64)).join(words, word, "left")
+    may_go = F.coalesce(F.expr(f"shiftright(`{word}_bits`, cast(pmod(`{key}`, 64) as int)) & 1 = 1"), F.lit(False))
+    rest = keyed.where(may_go)
+    single = rest.join(chosen.where("m = 1"), key, "left_semi")
+    many = rest.join(chosen.where("m > 1"), key, "left_semi").dropDuplicates([key])
+    columns = [*map(name, df.columns)]
+    return keyed.where(~may_go).select(*columns).unionAll(single.select(*columns)).unionAll(many.select(*columns))
