@@ -200,6 +200,19 @@ def test_level_zero_is_closed_under_overlap(spark):
     assert compaction.pick_l0(files, 4).count() == 0
 
 
+def test_level_zero_of_a_long_chain_takes_one_pass(spark):
+    rows = lambda n: [(0, n - i, 1, f"k{3 * i:05d}", f"k{3 * i + 3:05d}") for i in range(n)] + [(0, n + 1, 1, f"k{3 * n + 1:05d}", "k99999"), (1, 900, 1, "k00001", "k00002"), (1, 901, 1, f"k{3 * n:05d}", "k90000")]
+    counts = []
+    for n in (5, 40):
+        files = spark.createDataFrame(rows(n), "level int, num long, size long, smallest string, largest string")
+        spark.sparkContext.setJobGroup("chain", "")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+        assert sorted(r.num for r in compaction.pick_l0(files, 2).collect()) == [*range(1, n + 1), 900, 901]
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) - before)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] < counts[0] + 10
+
+
 def test_stream_of_requests(spark, tmp_path):
     from tidelog.streaming import ingest
 

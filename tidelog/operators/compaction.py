@@ -92,18 +92,20 @@ def pick_l0(files: DataFrame, trigger: int = 4) -> DataFrame:
     """The level-0 files to compact, closed under overlap, and the level-1 files that they overlap.
 
     Empty below ``trigger`` files.  The oldest file is first; files that overlap the range so far
-    join it until none does, so no older version stays above a newer one.  A level 0 has few
-    files, and the range is two strings."""
+    join it until none does, so no older version stays above a newer one.  That range is found in one pass, however long the chain of
+    files: ranges that are open are counted in the order of their ends, and none is where a chain ends."""
     zero = files.where("level = 0")
-    if zero.count() < trigger:
+    seen = zero.agg(F.count("*").alias("n"), F.min_by(F.struct("smallest", "largest"), "num").alias("first")).first()
+    if seen.n < trigger or seen.first is None:
         return files.limit(0)
-    first = zero.orderBy("num").first()
-    lower, upper = first.smallest, first.largest
-    while True:
-        wider = overlapping(zero, 0, lower, upper).agg(F.min("smallest"), F.max("largest")).first()
-        if tuple(wider) == (lower, upper):
-            break
-        lower, upper = wider
+    end = lambda c, is_end: F.struct(F.col(c).alias("at"), F.lit(is_end).alias("is_end"), "num", F.lit(1 - 2 * is_end).alias("step"))
+    # at one key the starts come first: a file that ends where another starts overlaps it
+    ends = zero.where("smallest <= largest").select(F.inline(F.array(end("smallest", 0), end("largest", 1))))
+    opened = running(ends, ["at", "is_end", "num"], "step", "open")
+    first = F.col("is_end") == 0, F.col("open") == 1, F.col("at") <= seen.first.smallest
+    last = F.col("is_end") == 1, F.col("open") == 0, F.col("at") >= seen.first.largest
+    when = lambda conditions: F.when(conditions[0] & conditions[1] & conditions[2], F.col("at"))
+    lower, upper = opened.agg(F.max(when(first)), F.min(when(last))).first()
     return overlapping(zero, 0, lower, upper).unionByName(overlapping(files, 1, lower, upper))
 
 
