@@ -79,6 +79,17 @@ def test_many_range_deletions_take_the_other_way(spark, monkeypatch):
         assert sorted(map(tuple, compaction.retired(rd, log_of(spark, *rows[:40]), 200).collect())) == old
 
 
+def test_plans_of_many_range_deletions_hold_no_ranks(spark, monkeypatch):
+    from tidelog.operators import resolve as module
+
+    monkeypatch.setattr(module, "LISTED_RANGES", 2)
+    log = log_of(spark, *(("k%02d" % (i % 40), i + 1, V, i) for i in range(80)))
+    ranges = ranges_of(spark, *(("k%02d" % i, "k%02d" % (i + 2), 60) for i in range(0, 20, 2)))
+    view = resolve(log, ranges)
+    assert "Window" not in view._jdf.queryExecution().analyzed().toString()
+    assert {r.user_key: r.value for r in view.collect()} == {"k%02d" % i: i + 40 for i in range(19, 40)}
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_in_two_levels(spark, descending):
     rnd = random.Random(7)
@@ -213,6 +224,13 @@ def test_level_zero_of_a_long_chain_takes_one_pass(spark):
     assert counts[1] < counts[0] + 10
 
 
+def test_requests_are_numbered_once(spark):
+    from tidelog.plans import workload
+
+    asked = workload.requests(spark, "/root/testdata/sf0.001", "d")
+    assert "Window" not in asked._jdf.queryExecution().analyzed().toString() and asked.where("op = 'insert'").count() > 0
+
+
 def test_stream_of_requests(spark, tmp_path):
     from tidelog.streaming import ingest
 

@@ -20,14 +20,16 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def searched(value: Column, cuts: list[Column]) -> Column:
-    """How many of the ascending ``cuts`` are at most ``value``: a search in two steps of about sqrt(len(cuts))."""
+def searched(value: Column, cuts: list, listed: Callable[[list], Column]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``: a search in two steps of about sqrt(len(cuts)).
+
+    ``listed``: the array of some cuts."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts) - 1) + 1
     before = lambda found, v: F.size(F.filter(found, lambda x: x <= v))
-    inside = lambda v, group: group * step + before(F.slice(F.array(*cuts), group * step + 1, step), v)
-    return _bound(value, lambda v: _bound(before(F.array(*cuts[step - 1 :: step]), v), lambda group: inside(v, group)))
+    inside = lambda v, group: group * step + before(F.slice(listed(cuts), group * step + 1, step), v)
+    return _bound(value, lambda v: _bound(before(listed(cuts[step - 1 :: step]), v), lambda group: inside(v, group)))
 
 
 def place_of(df: DataFrame, order: Sequence[str], places: int = PLACES) -> Column:
@@ -35,7 +37,7 @@ def place_of(df: DataFrame, order: Sequence[str], places: int = PLACES) -> Colum
     kinds = {c: df.schema[c].dataType for c in order}
     seen = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(places - 1).collect()
     literal = lambda row: F.struct(*(F.lit(row[c]).cast(kinds[c]).alias(c) for c in order))
-    return searched(F.struct(*order), [literal(r) for r in sorted(seen, key=tuple)])
+    return searched(F.struct(*order), sorted(seen, key=tuple), lambda rows: F.array(*map(literal, rows)))
 
 
 def running(

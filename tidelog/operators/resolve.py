@@ -7,6 +7,7 @@ base is a value or it has a merge record.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidelog.model import DELETION, MERGE, VALUE, NoMergeOperator
 from tidelog.operators.ordered import running, searched
+from tidelog.sources.tables import written
 
 #: Up to so many range deletions become a list of cuts in the plan; more are joined as a tree of key ranges.
 LISTED_RANGES = 1024
@@ -93,16 +95,19 @@ def newest_cover(keys: DataFrame, ranges: DataFrame, levels: int) -> DataFrame:
     """user_key, rseq: for each key in a range the greatest number of the ranges that hold it.
 
     Range ends are ranked.  A range is the few blocks of a binary tree over the ranks that make it up, a key asks for the
-    blocks around it, one a level: joins on equal values only, however ranges overlap."""
+    blocks around it, one a level: joins on equal values only, however ranges overlap.  Each step is written to the shared
+    folder: as one plan it holds the log and the cuts of the ranks many times over."""
     ranges = ranges.where("start_key < end_key")
     ends = ranges.select(F.col("start_key").alias("user_key")).unionAll(ranges.select("end_key")).distinct().select("user_key", F.lit(0).alias("is_key"), F.lit(1).alias("one"))
-    ranked = running(keys.select("user_key", F.lit(1).alias("is_key"), F.lit(0).alias("one")).unionAll(ends), ["user_key", "is_key"], "one", "upto")
+    every = written(keys.select("user_key", F.lit(1).alias("is_key"), F.lit(0).alias("one")).unionAll(ends), "ends")
+    ranked = written(running(every, ["user_key", "is_key"], "one", "upto"), "ranks")
     place = ranked.where("is_key = 0").select("user_key", (F.col("upto") - 1).alias("at"))
     side = lambda c, to: place.select(F.col("user_key").alias(c), F.col("at").alias(to))
     placed = ranges.join(side("start_key", "first"), "start_key").join(side("end_key", "last"), "end_key")
     tree = placed.select("rseq", F.expr(f"explode({_blocks('first', 'last', levels)})").alias("b")).groupBy("b.level", "b.at").agg(F.max("rseq").alias("rseq"))
     asked = ranked.where("is_key = 1 AND upto > 0").select("user_key", F.expr(f"explode(transform(sequence(0, {levels}), i -> named_struct('level', i, 'at', shiftright(upto - 1, i))))").alias("b"))
-    return asked.select("user_key", "b.level", "b.at").join(tree, ["level", "at"]).groupBy("user_key").agg(F.max("rseq").alias("rseq"))
+    # merged: the size of what is read from compressed files and exploded is guessed far too low for a broadcast
+    return written(asked.select("user_key", "b.level", "b.at").join(tree.hint("merge"), ["level", "at"]).groupBy("user_key").agg(F.max("rseq").alias("rseq")), "covers")
 
 
 def with_cover(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -114,11 +119,12 @@ def with_cover(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) -
         keys, newest = _steps(few)
         if not keys:
             return log.withColumn("cover", F.lit(None).cast("long"))
-        at = searched(F.col("user_key"), [F.lit(k) for k in keys])
-        return log.withColumn("cover", F.get(F.array(*(F.lit(s).cast("long") for s in newest)), at - 1))
+        # one literal each: a plan holds them several times
+        at = searched(F.col("user_key"), keys, lambda some: F.from_json(F.lit(json.dumps(some)), "array<string>"))
+        return log.withColumn("cover", F.get(F.from_json(F.lit(json.dumps(newest)), "array<bigint>"), at - 1))
     levels = (2 * ranges.count()).bit_length()
     covers = newest_cover(log.select("user_key").distinct(), ranges, levels)
-    return log.join(covers.withColumnRenamed("rseq", "cover"), "user_key", "left")
+    return log.join(covers.withColumnRenamed("rseq", "cover").hint("merge"), "user_key", "left")
 
 
 def uncovered(log: DataFrame, ranges: DataFrame, snapshot: int | None = None) -> DataFrame:

@@ -207,7 +207,7 @@ def compact_view_equality(spark, d):
     """The views of a log and of its compaction, at the snapshot kept and later ones."""
     log, rd = event_log(spark, d)
     third = at(spark, d, THIRD)
-    small, out = compaction.compact(log, rd, third), []
+    small, out = tables.written(compaction.compact(log, rd, third), "small"), []
     for k, part in {"third": THIRD, "half": HALF, "whole": 1}.items():
         s = at(spark, d, part)
         a, b = resolve(log, rd, s), resolve(small, rd, s)

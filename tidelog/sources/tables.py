@@ -28,5 +28,12 @@ def checkpoint(log: DataFrame, ranges: DataFrame, snapshot: int, path: str | Non
     return path
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: what reads it several times does not work it out, or plan it, each time."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/log"), spark.read.parquet(f"{path}/ranges")
