@@ -9,6 +9,7 @@ from tidelog.model import VALUE
 from tidelog.operators.ordered import PLACES, running
 from tidelog.operators.resolve import resolve
 from tidelog.sources.derived import event_log, key_of
+from tidelog.sources.tables import written as shared
 
 #: Percent of requests by kind in each mix, keys of a scan, newest keys of read_latest, exponent of the key draw.
 MIXES = {
@@ -41,7 +42,8 @@ def requests(spark, d: str, mix: str) -> DataFrame:
     """id, op and user_key of each request, drawn from the id alone.
 
     Keys are drawn from all that the table has, the first ones most often (a power law); inserts make new keys after them,
-    read_latest draws from the newest of what is there by then."""
+    read_latest draws from the newest of what is there by then.  Where inserts are counted, the requests are written to the shared folder,
+    since a mix reads them several times."""
     e = spark.read.parquet(f"{d}/events.parquet")
     keys, last = (x + 1 for x in e.agg(F.max("user_id"), F.max("event_id")).first())
     drawn = e.select(F.col("event_id").alias("id")).select("id", _op(mix, _digest(F.col("id"), 7919) % 100).alias("op"), _digest(F.col("id"), 104729).alias("draw"))
@@ -54,7 +56,7 @@ def requests(spark, d: str, mix: str) -> DataFrame:
     counted = running(flagged, ["id"], "is_insert", "inserts", place=F.expr(f"id div {last // PLACES + 1}"))
     newest = F.lit(keys) + F.col("inserts")
     key = F.when(F.col("op") == "insert", newest - 1).when(F.col("op") == "read_latest", newest - 1 - F.col("draw") % F.least(newest, F.lit(LATEST_KEYS))).otherwise(F.least(zipf, F.lit(keys - 1)))
-    return counted.select("id", "op", key_of(key).alias("user_key"))
+    return shared(counted.select("id", "op", key_of(key).alias("user_key")), "requests")
 
 
 def requests_sql(mix: str) -> str:
