@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import codec
 from tidelog.model import LOG_SCHEMA, RANGE_SCHEMA, Conflict, InvalidScan, Mismatch, SnapshotReleased
 from tidelog.operators import compaction, ordered, reads, writes
 from tidelog.operators.resolve import APPEND, NONE, SUM, ordered_fold, resolve, strict
@@ -231,6 +232,11 @@ def test_requests_are_numbered_once(spark):
     assert "Window" not in asked._jdf.queryExecution().analyzed().toString() and asked.where("op = 'insert'").count() > 0
 
 
+def test_varints_of_seven_bytes_and_more(spark):
+    sizes = spark.createDataFrame([(x,) for x in (0, 127, 128, 2**35 - 1, 2**35, 2**42 - 1, 2**42, 2**49, 2**62)], "x long").select(codec.uvarint_length(F.col("x")).alias("n"))
+    assert [r.n for r in sizes.collect()] == [1, 1, 2, 5, 6, 6, 7, 8, 9]
+
+
 def test_stream_of_requests(spark, tmp_path):
     from tidelog.streaming import ingest
 
