@@ -408,6 +408,24 @@ def test_op8_false_discoveries(spark):
     assert sum(n[i] for i in range(200)) >= 190 and sum(n[i] for i in range(200, 400)) <= 4
 
 
+def test_op8_long_strings(spark):
+    """Candidates of every length meet structured strings of theirs, in prose or in texts without a word of letters A to Z."""
+    rnd = np.random.default_rng(5)
+    words = ["river", "stone", "garden", "window", "letter", "summer", "market", "engine", "winter", "silver", "planet", "orange", "yellow", "forest"]
+    prose = lambda: " ".join(rnd.choice(words, 60))
+    foreign = lambda: " ".join(rnd.choice(["река", "камень", "окно", "письмо"], 30))
+    code = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    sizes = [65, 91, 120, 200, 700, 1500, 6000]
+    keys = ["".join(rnd.choice(code, n - 2)) + "7a" for n in sizes for _ in range(12)]
+    slugs = [("-".join(rnd.choice(words, n // 4)) + "-1")[-n:] for n in sizes for _ in range(12)]
+    slugs = ["1984" + s[4:] for s in slugs]
+    for around in (prose, foreign):
+        texts = [(i, f"{around()} {x} {around()}") for i, x in enumerate(keys + slugs)]
+        n = {r.doc_id: r.n_random for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert [sum(n[i + j] for j in range(12)) >= 11 for i in range(0, len(keys), 12)] == [True] * len(sizes)
+        assert sum(n[i] for i in range(len(keys), len(texts))) == 0
+
+
 def test_op9_brute_force(spark, docs, odd):
     items = [(1, " ".join(f"q{i}" for i in range(40))), (2, "short one"), (3, None), (4, "")]
     long = [f"q{i}" for i in range(40)]

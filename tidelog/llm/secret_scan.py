@@ -8,10 +8,15 @@ correlation of neighbours.  Fisher's sum of the three is its score: the lower, t
 
 What is controlled is the share of false secrets.  The null hypothesis of a candidate is that it is structured: words
 and numbers put together.  How such strings score is counted, by class of encoding and length, over strings of that kind
-made from every text of the table (``structured``): its own words, from a place drawn by a digest, in each encoding.  A candidate's p-value is
+made from the table's texts (``structured``): a text's own words outside of long code runs (a text without: ``WORDS``), from places drawn by
+a digest, in the encodings and lengths that the candidates have.  A candidate's p-value is
 the part of its class's structured strings with a score as low.  Within each class the Benjamini-Hochberg rule at ``level``
 finds the secrets, of kind ``random``.  Short strings, on which the tests have little power, are found only if they
-stand out all the same, and a class without structured strings finds none.
+stand out all the same.
+
+Every class that has a candidate gets structured strings, of all its lengths, at least ``LEAST`` or so of each form; how many more, goes with the number
+of texts (``plan_of``).  A candidate may have any length: the last class is open, and from 1024 characters on its structured strings have up to
+1448.  Longer ones would only score higher, so the share of false secrets stays bounded there.  Texts are read a second time if there are candidates.
 
 Null and empty texts have no spans.  Rows that repeat are scanned each.  An empty table gives an empty result; texts may have any
 length; extra columns do not matter.  Positions are code points, ends exclusive.
@@ -19,6 +24,8 @@ length; extra columns do not matter.  Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +48,12 @@ ENCODINGS = {
     "base64": ("", _LOWER.upper() + _LOWER + _DIGITS + "+/"),
 }
 _STEPS = 4  # of Fisher's sum to one bin
+_LAST = 20  # class of lengths, without an upper end
+#: Structured strings: forms by encoding, and the words of texts that have none.
+FORMS = {"base64": ("dashed", "camel"), "base36": ("lower", "upper"), "hex": ("hex",), "base32": ("base32",)}
+WORDS = "user data file name config path server client image report account order product customer message content update version release project"
+#: Structured strings of each form in a class that has candidates, in small tables; characters of each form that a text gives, at most, in large ones.
+LEAST, CHARS = 1000, 128
 
 
 def _normal_tail(z: str) -> str:
@@ -73,36 +86,63 @@ def battery(m: str) -> str:
     )
     # the first is one-sided
     logs = f"ln(greatest({_normal_tail('z[0]')}, 1e-20)) + ln(greatest(2 * {_normal_tail('z[1]')}, 1e-20)) + ln(greatest(2 * {_normal_tail('z[2]')}, 1e-20))"
-    score = f"least(400, greatest(0, cast(floor(-2 * {_STEPS} * ({logs})) as int)))"
+    score = f"greatest(0, cast(floor(-2 * {_STEPS} * ({logs})) as int))"
     value = bind(counted, "c", bind(mean, "r", bind(tests, "z", score)))
     tested = f"named_struct('kind', e.kind, 'length', v.n, 'bin', {value})"
     return bind(f"named_struct('kind', {kind}, 't', {folded})", "e", bind(f"named_struct('x', {places}, 'n', length(e.t), 'k', length({alphabet}))", "v", tested))
 
 
+def _step(length: str) -> str:
+    return f"cast(least(floor(log2({length}) * 2), {_LAST}) as int)"
+
+
 def _class(kind: str, length: str) -> str:
-    return f"concat({kind}, ':', cast(least(floor(log2({length}) * 2), 20) as int))"
-
-
-def structured(text: str) -> str:
-    """SQL for strings put together from words of ``text`` and numbers, one or more in each encoding."""
-    words = f"regexp_extract_all({text}, '[A-Za-z]+', 0)"
-    own = f"named_struct('w', {words}, 'd', abs(xxhash64({text})))"
-    some = "named_struct('w', slice(o.w, cast(1 + o.d % greatest(size(o.w) - 16, 1) as int), 16), 'd', o.d, 'n', cast(20 + o.d div 17 % 45 as int), 'y', cast(1990 + o.d div 1009 % 40 as string), 'i', cast(o.d div 40009 % 10000 as string))"
-    cut = lambda joined: f"substr(concat(s.y, {joined}), 1, s.n)"
-    dashed = "concat_ws(CASE s.d % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '/' END, slice(s.w, 1, 3), s.i, slice(s.w, 4, 16))"
-    camel = "concat_ws(s.i, array(array_join(transform(slice(s.w, 1, 2), x -> initcap(x)), ''), array_join(transform(slice(s.w, 3, 16), x -> initcap(x)), '')))"
-    lower = "lower(concat(array_join(slice(s.w, 1, 2), ''), s.i, array_join(slice(s.w, 3, 16), '')))"
-    made = [dashed, camel, lower, f"upper({lower})", f"regexp_replace(repeat({lower}, 4), '[^0-9a-f]', '')"]
-    base32 = f"substr(translate(upper({lower}), '0189', 'OIBG'), 1, s.n)"
-    usable = "filter(x, m -> length(m) >= 20)"
+    return f"concat({kind}, ':', {_step(length)})"
+
+
+def plan_of(rows: DataFrame) -> list[tuple[str, int, int, float]]:
+    """Form, least length, end of lengths and strings a text, for each form of each class that has candidates: some 80 at most.
+
+    A text's characters of a form are shared evenly among the classes, so longer strings are fewer; a small table's texts give several strings each."""
+    wanted = rows.select(F.explode("candidates").alias("c")).select("c.kind", F.expr(_step("c.length")).alias("step")).distinct().collect()
+    total = rows.count() if wanted else 0
+    plan = []
+    for kind, step in sorted(wanted):
+        lo, end = max(20, math.ceil(2 ** (step / 2))), math.ceil(2 ** ((step + 1) / 2))
+        rate = min(1.0, 2 * CHARS / sum(w.kind == kind for w in wanted) / (lo + end))
+        plan += [(form, lo, end, max(rate, LEAST / total)) for form in FORMS[kind]]
+    return plan
+
+
+def structured(df: DataFrame, plan: list[tuple[str, int, int, float]]) -> DataFrame:
+    """``strings``: for each row of doc_id and text that gives any, strings put together from words of the text and numbers, by ``plan``."""
     bind = lambda value, var, body: f"element_at(transform(array({value}), {var} -> {body}), 1)"
-    return bind(own, "o", bind(some, "s", bind(f"array({', '.join(map(cut, made))}, {base32})", "x", usable)))
+    digest = lambda *of: f"shiftrightunsigned(xxhash64({', '.join(of)}), 1)"
+    forms = ", ".join(f"named_struct('form', '{f}', 'lo', {lo}, 'end', {end}, 'rate', {rate!r}D)" for f, lo, end, rate in plan)
+    # a whole number of strings, whose mean is the rate
+    several = f"slice(sequence(1, cast(q.rate as int) + 1), 1, cast(q.rate + {digest('o', 'q.form', 'q.lo')} % 1000003 / 1000003D as int))"
+    drawn = f"flatten(transform(array({forms}), q -> transform({several}, j -> named_struct('form', q.form, 'd', {digest('o', 'q.form', 'q.lo', 'j')}, 'lo', q.lo, 'end', q.end))))"
+    own = "regexp_extract_all(regexp_replace(text, '[A-Za-z0-9+/_-]{20,}', ' '), '[A-Za-z]+', 0)"
+    words = bind(own, "w", f"CASE WHEN size(w) > 0 THEN w ELSE split('{WORDS}', ' ') END")
+    # units of up to 16 words, a year and a number, until the length is reached
+    lower = "lower(concat(u.y, array_join(slice(u.w, 1, 2), ''), u.i, array_join(slice(u.w, 3, 16), '')))"
+    dashed = "concat(u.y, concat_ws(s.sep, slice(u.w, 1, 3), u.i, slice(u.w, 4, 16)))"
+    camel = "concat(u.y, concat_ws(u.i, array(array_join(transform(slice(u.w, 1, 2), x -> initcap(x)), ''), array_join(transform(slice(u.w, 3, 16), x -> initcap(x)), ''))))"
+    unit = f"CASE s.form WHEN 'dashed' THEN {dashed} WHEN 'camel' THEN {camel} ELSE {lower} END"
+    some = "named_struct('w', slice(words, cast(1 + h % greatest(size(words) - 16, 1) as int), 16), 'y', cast(1990 + h div 1009 % 40 as string), 'i', cast(h div 40009 % 10000 as string))"
+    units = f"transform(sequence(1, s.n div CASE s.form WHEN 'hex' THEN 16 ELSE 48 END + 1), k -> {bind(digest('s.d', 'k'), 'h', bind(some, 'u', unit))})"
+    coded = "CASE s.form WHEN 'upper' THEN upper(t) WHEN 'hex' THEN regexp_replace(t, '[^0-9a-f]', '') WHEN 'base32' THEN translate(upper(t), '0189', 'OIBG') ELSE t END"
+    cut = bind(f"array_join({units}, s.sep)", "t", bind(coded, "c", "substr(repeat(c, cast(s.n div length(c) + 1 as int)), 1, s.n)"))
+    about = "named_struct('form', r.form, 'd', r.d, 'n', cast(r.lo + r.d div 17 % (r.end - r.lo) as int), 'sep', CASE WHEN r.form <> 'dashed' THEN '' WHEN r.d % 3 = 0 THEN '-' WHEN r.d % 3 = 1 THEN '_' ELSE '/' END)"
+    draws = bind("xxhash64(doc_id, text)", "o", drawn)
+    rows = df.select("text", F.expr(draws).alias("draws")).where("size(draws) > 0").select("draws", F.expr(words).alias("words"))
+    return rows.select(F.expr(f"transform(draws, r -> {bind(about, 's', cut)})").alias("strings"))
 
 
 def limits_of(rows: DataFrame, level: float) -> dict[str, int]:
     """Class -> the greatest bin that the Benjamini-Hochberg rule calls random.
 
-    At most 401 bins in each of some 50 classes; counts are partial aggregates."""
+    At most 1106 bins in each of some 50 classes; counts are partial aggregates."""
     each = lambda c, a, b: rows.select(F.explode(c).alias("c")).select(F.expr(_class("c.kind", "c.length")).alias("class"), F.col("c.bin").alias("bin"), F.lit(a).alias("n"), F.lit(b).alias("nulls"))
     bins = each("candidates", 1, 0).unionAll(each("nulls", 0, 1)).groupBy("class", "bin").agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
     by = Window.partitionBy("class")
@@ -125,12 +165,19 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: f
     coded = f"filter({matches('text', CANDIDATE)}, x -> x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]' AND NOT exists(base, b -> b.lo < x.hi AND x.lo < b.hi))"
     found = found.select("doc_id", "text", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE))
     tested = f"transform({coded}, x -> element_at(transform(array({battery('x.m')}), t -> named_struct('lo', x.lo, 'hi', x.hi, 'kind', t.kind, 'length', t.length, 'bin', t.bin)), 1))"
-    nulls = f"transform({structured('text')}, m -> {battery('m')})"
-    rows = written(found.select("doc_id", *(f"n_{k}" for k in BASE), "base", F.expr(tested).alias("candidates"), F.expr(nulls).alias("nulls")), "secrets")
-    limits = limits_of(rows, level)
+    rows = written(found.select("doc_id", *(f"n_{k}" for k in BASE), "base", F.expr(tested).alias("candidates")), "secrets")
+    limits = {}
+    if plan := plan_of(rows):
+        # written, or a filter that Spark infers for the explosion works all of it out twice
+        nulls = written(structured(source, plan).select(F.expr(f"transform(strings, m -> {battery('m')})").alias("nulls")), "structured")
+        kinds = "array<struct<kind:string,length:int,bin:int>>"
+        none = F.expr(f"cast(array() as {kinds})")
+        tests = F.expr("transform(candidates, c -> named_struct('kind', c.kind, 'length', c.length, 'bin', c.bin))")
+        both = rows.select(tests.alias("candidates"), none.alias("nulls")).unionAll(nulls.select(none, "nulls"))
+        limits = limits_of(both, level)
     limit = F.create_map(*(F.lit(v) for kv in limits.items() for v in kv)) if limits else F.expr("cast(map() as map<string,int>)")
     random = f"transform(filter(candidates, c -> c.bin <= coalesce(limits[{_class('c.kind', 'c.length')}], -1)), c -> named_struct('lo', c.lo, 'no', 3, 'hi', c.hi, 'kind', 'random'))"
-    rows = rows.drop("nulls").withColumn("limits", limit).withColumn("random", F.expr(random))
+    rows = rows.withColumn("limits", limit).withColumn("random", F.expr(random))
     return rows.select(
         "doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"),
         F.expr(_joined("concat(base, random)")).alias("spans"), F.size("random").cast("long").alias("n_random"),
