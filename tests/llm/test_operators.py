@@ -244,6 +244,30 @@ def test_op5_merges_by_brute_force(spark):
             assert list(pieces.stream([word], v)) == list(pieces.stream(word, v)) == want
 
 
+def test_op5_stretches_change_nothing(docs):
+    """Texts are cut at gaps that no piece crosses, and stretches recur more than words do."""
+    v = pieces.Vocabulary.load(open(PIECES, "rb").read())
+    texts = [r.text for r in docs.collect() if r.text]
+    odd = ["a.b..c\nd", "\n\n", "  x  ...  ", "привет,Welt!мир", "日本語。数据a一个", "▁a▁ b", "1,5€ (x)  ]^-\\", "ça###\r\n\tfin" * 40, " " * 70 + "." * 70]
+    to, within = pieces.Encoder(v), {p[i : i + 2] for p in v.piece for i in range(len(p) - 1)}
+    for t in texts[:60] + odd:
+        parts = v.parts.findall(" " + t)
+        at = np.cumsum([len(p) for p in parts])[:-1]
+        assert "".join(parts) == " " + t and not any((" " + t)[i - 1 : i + 1] in within for i in at)
+        assert to(t) == list(pieces.stream([" " + t], v))
+    words = {w for t in texts for w in re.findall(" *[^ ]+| +", " " + t)}
+    assert len({p for t in texts for p in v.parts.findall(" " + t)}) < 0.9 * len(words)
+    # by a vocabulary with other neighbours: a piece with a sign inside of letters, one that goes on after a space
+    bytes_ = [f"<0x{b:02X}>" for b in range(256)]
+    rnd = np.random.default_rng(6)
+    for names in (["a", "b", ".", "a.", "ab", "..", "b▁", "▁a"], ["a", "b", ".", "a.", "ab", "..", "b..", "▁a", "▁▁"], ["a", "b", ".", "ab", "..", "▁.", "ba", "bab"]):
+        for merges in (False, True):
+            v = pieces.Vocabulary([*names, *bytes_], [-float(i + 1) for i in range(len(names))] + [0.0] * 256, [True] * len(names) + [False] * 256, merges)
+            for n in (1, 7, 90):
+                text = "".join(rnd.choice(list("aabb.. é"), n))
+                assert pieces.Encoder(v)(text) == list(pieces.stream([" " + text], v))
+
+
 def test_op5_memory_is_bounded():
     v = pieces.Vocabulary.load(open(PIECES, "rb").read())
     ids = pieces.stream("nandaire" * 20_000, v)

@@ -12,8 +12,8 @@ identifiers as soon as all surviving paths go through one boundary.  What it kee
   path to where that piece begins.  Whether two pieces may be neighbours is found by merging
   their few characters, and memoised.  A path of best score would be another text's: scores of a BPE model are ranks.
 
-Where no piece of the vocabulary crosses a gap between words, all paths meet there, so texts are searched word by
-word and words are memoised; that changes no identifier.
+Where no piece of the vocabulary crosses a gap, all paths meet there, so texts are searched by the stretches between such gaps (``parts_of``: words, and
+in them letters of one script, or other signs) and stretches are memoised; that changes no identifier.
 
 A character without a piece becomes its bytes.  ``U+2581`` in a text is written as
 bytes, so that decoding gives back every text exactly (the library reads it as a space).
@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from tidelog.llm.common import with_text_columns
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_WORDS = re.compile(r" *[^ ]+| +")
+#: Sets of characters that are told apart in texts.
+_SETS = 8
 #: Entries of a task's memo of words; a full memo starts anew.
 WORDS = 500_000
 #: Entries of the memo of neighbours; a full memo starts anew.
@@ -48,6 +49,30 @@ _NONE = (0, -float("inf"))
 _LOOK = 64
 
 
+def parts_of(pieces: Iterable[str]) -> re.Pattern | None:
+    """What cuts texts where no piece crosses; None: a piece goes on after a space.
+
+    Characters side by side in a piece are of one set.  The largest sets have runs of their own; all others share theirs, which only makes stretches longer."""
+    other: dict[str, str] = {}
+
+    def first(c: str) -> str:
+        while other.setdefault(c, c) != c:
+            c = other[c]
+        return c
+
+    for p in pieces:
+        own = p.lstrip(" ")
+        if " " in own:
+            return None
+        for a, b in zip(own, own[1:]):
+            other[first(a)] = first(b)
+    sets: dict[str, str] = {}
+    for c in list(other):
+        sets[first(c)] = sets.get(first(c), "") + c
+    runs = [re.escape(x) for x in sorted(sets.values(), key=len, reverse=True)[:_SETS]]
+    return re.compile(f" *(?:{''.join(f'[{r}]+|' for r in runs)}[^ {''.join(runs)}]+)| +")
+
+
 class Vocabulary:
     """Pieces and scores of a model; the space mark is held as a plain space."""
 
@@ -67,7 +92,7 @@ class Vocabulary:
         low = min((s for _, s in self.piece.values() if s > -1e8), default=0.0)
         self.byte_score = low - 10.0
         self.neighbours: dict[tuple[int, int], bool] = {}
-        self.by_words = not any(" " in p.lstrip(" ") for p in self.piece)
+        self.parts = parts_of(self.piece)
 
     @classmethod
     def load(cls, model: bytes) -> "Vocabulary":
@@ -181,7 +206,7 @@ def _path(ids: list[int], sizes: list[int], end: int, v: Vocabulary) -> list[int
 
 
 class Encoder(dict):
-    """Memo from a word to its identifiers."""
+    """Memo from a stretch of text to its identifiers."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -197,7 +222,7 @@ class Encoder(dict):
     def __call__(self, text: str) -> list[int]:
         if not text:
             return []
-        parts = _WORDS.findall(" " + text) if self.v.by_words else [" " + text]
+        parts = self.v.parts.findall(" " + text) if self.v.parts else [" " + text]
         return list(chain.from_iterable(map(self.__getitem__, parts)))
 
 
