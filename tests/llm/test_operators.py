@@ -268,6 +268,17 @@ def test_op5_stretches_change_nothing(docs):
                 assert pieces.Encoder(v)(text) == list(pieces.stream([" " + text], v))
 
 
+def test_op5_a_process_keeps_one_search(monkeypatch):
+    model = open(PIECES, "rb").read()
+    to = pieces.encoder(model)
+    want = to("Elle a bien.\nUnd er")
+    assert pieces.encoder(bytes(bytearray(model))) is to and len(to) > 0 and len(pieces._HELD) == 1
+    monkeypatch.setattr(pieces, "WORDS", 3)  # full memos start anew and change nothing
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    to.clear(), to.v.neighbours.clear()
+    assert to("Elle a bien.\nUnd er") == want and len(to) <= 3 and len(to.v.neighbours) <= 3
+
+
 def test_op5_memory_is_bounded():
     v = pieces.Vocabulary.load(open(PIECES, "rb").read())
     ids = pieces.stream("nandaire" * 20_000, v)

@@ -24,6 +24,7 @@ texts may have any length.  Other columns pass, but for those named like new one
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -38,7 +39,7 @@ from tidelog.llm.common import with_text_columns
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Sets of characters that are told apart in texts.
 _SETS = 8
-#: Entries of a task's memo of words; a full memo starts anew.
+#: Entries of a process's memo of stretches; a full memo starts anew.
 WORDS = 500_000
 #: Entries of the memo of neighbours; a full memo starts anew.
 PAIRS = 1_000_000
@@ -226,6 +227,19 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, parts)))
 
 
+#: What a worker process keeps from task to task: the search of one model, with its memos.
+_HELD: dict[bytes, Encoder] = {}
+
+
+def encoder(model: bytes) -> Encoder:
+    """The process's encoder of a model; another model replaces it."""
+    key = hashlib.sha256(model).digest()
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(Vocabulary.load(model))
+    return _HELD[key]
+
+
 class Decoder:
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -249,8 +263,8 @@ def encode(df: DataFrame, model: str, text_col: str = "text", keep: list[str] |
     content = _model(df, model)
 
     def make():
-        v = Vocabulary.load(content.value)
-        to, back = Encoder(v), Decoder(v)
+        to = encoder(content.value)
+        back = Decoder(to.v)
 
         def run(texts: list[str | None]):
             ids = [None if t is None else to(t) for t in texts]
