@@ -7,6 +7,7 @@ import re
 import tempfile
 import time
 from collections import Counter, defaultdict
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -279,6 +280,29 @@ def test_op5_a_process_keeps_one_search(monkeypatch):
     assert to("Elle a bien.\nUnd er") == want and len(to) <= 3 and len(to.v.neighbours) <= 3
 
 
+def test_op5_memos_of_a_process_are_small(monkeypatch):
+    to, search, searched = pieces.Encoder(pieces.Vocabulary.load(open(PIECES, "rb").read())), pieces.stream, []
+    monkeypatch.setattr(pieces, "stream", lambda chunks, v: searched.append(chunks) or search(chunks, v))
+    monkeypatch.setattr(pieces, "WORDS", 100)
+    for i in range(1000):
+        to(f"often {'abcdefghij'[i % 10] * (1 + i // 10)}")
+    assert searched.count((" often",)) == 1  # what is met again outlives a full memo
+    monkeypatch.setattr(pieces, "WORDS", 10**9)
+    monkeypatch.setattr(pieces, "BYTES", 20_000)  # not entries alone
+    for i in range(1000):
+        to("".join("abcdefghij"[int(c)] for c in str(i)) * 10)
+    assert 0 < sum(getsizeof(x) for memo in (to, to.old) for entry in memo.items() for x in entry) <= 40_000
+
+
+def test_op4_blocks_are_written_before_candidates(spark, monkeypatch):
+    shared = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(40)] + [(40, "alone with a few words")], "doc_id long, text string")
+    put, plans = ngram_join.Scratch.put, {}
+    monkeypatch.setattr(ngram_join.Scratch, "put", lambda self, df, tag: plans.update({tag: df._jdf.queryExecution().optimizedPlan().toString()}) or put(self, df, tag))
+    assert {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()} == {**dict.fromkeys(range(40), 0), 40: 40}
+    assert "max_by" in plans["blocks"] and "max_by" not in plans["links"]  # a task holds pages for all sorts of its stage
+
+
 def test_op5_memory_is_bounded():
     v = pieces.Vocabulary.load(open(PIECES, "rb").read())
     ids = pieces.stream("nandaire" * 20_000, v)

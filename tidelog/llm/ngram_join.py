@@ -191,15 +191,17 @@ def _ordered(x: str, y: str) -> list:
     return [F.expr(f"least({x}, {y})").alias("a"), F.expr(f"greatest({x}, {y})").alias("b")]
 
 
-def _candidates(labelled: DataFrame, heads: DataFrame | None, answers: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a < b) of sets of different classes, by what positions and the answers of heads leave possible."""
+def _candidates(labelled: DataFrame, heads: DataFrame | None, answers: DataFrame | None, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a < b) of sets of different classes, by what positions and the answers of heads leave possible.
+
+    What is known of each block is written first: a sort or an aggregate has a page of memory at least, and a task those of its whole stage."""
     index, asked = labelled.withColumn("c", F.expr(_class("n", percent))), probes(labelled, percent)
     smaller = "(y.n < x.n OR (y.n = x.n AND y.node < x.node))"
     pairs = lambda x, y, more="": x.alias("x").join(y.alias("y"), ["h", "c"]).where(F.expr(f"x.label <> y.label AND {smaller} AND {_room('x', 'y', percent)} {more}")).select(*_ordered("x.node", "y.node"))
     if heads is None:
         return pairs(asked, index).distinct()
     by_class = index.groupBy("h", "c", "label").agg(F.count("*").alias("m")).groupBy("h", "c").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
-    blocks = heads.select("h", "c", F.col("head.node").alias("head")).join(by_class, ["h", "c"])
+    blocks = scratch.put(heads.select("h", "c", F.col("head.node").alias("head")).join(by_class, ["h", "c"]), "blocks")
     with_answer = lambda e: e.join(blocks, ["h", "c"]).join(answers, ["node", "head"], "left")
     x, y = with_answer(asked), with_answer(index)
     derived = f"AND coalesce({100 + percent} * (least(x.o, y.o) + least(x.n - x.o, y.n - y.o)) >= {percent} * (x.n + y.n), true)"
@@ -225,11 +227,11 @@ def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
             classes = components(found, scratch)
     labelled = entries.withColumn("label", F.col("node")) if classes is None else entries.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if answers is None:
-        pairs = _candidates(labelled, None, None, percent)
+        pairs = _candidates(labelled, None, None, percent, scratch)
     else:
         # a head has all of itself in common with itself
         own = heads.select(F.col("head.node").alias("node"), F.col("head.node").alias("head"), F.col("head.n").alias("o")).distinct()
-        pairs = _candidates(labelled, heads, answers.unionAll(own), percent).join(with_heads.select(*_ordered("a", "b")), ["a", "b"], "left_anti")
+        pairs = _candidates(labelled, heads, answers.unionAll(own), percent, scratch).join(with_heads.select(*_ordered("a", "b")), ["a", "b"], "left_anti")
     more = scratch.put(verified(pairs, sets).where(linked).select("a", "b"), "links")
     if more.isEmpty():
         return classes

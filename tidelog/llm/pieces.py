@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from sys import getsizeof
 
 import ahocorasick
 import pyarrow as pa
@@ -39,10 +40,12 @@ from tidelog.llm.common import with_text_columns
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Sets of characters that are told apart in texts.
 _SETS = 8
-#: Entries of a process's memo of stretches; a full memo starts anew.
-WORDS = 500_000
-#: Entries of the memo of neighbours; a full memo starts anew.
-PAIRS = 1_000_000
+#: Entries of each half of a process's memo of stretches, and about how many bytes they may have.
+WORDS, BYTES = 150_000, 27 << 20
+#: Entries of each half of the memo of neighbours.
+PAIRS = 200_000
+#: Bytes of a place in a dict, about.
+_PLACE = 50
 #: Identifiers from here on stand for characters without a piece; the start of a text.
 _CHAR, _START = 1 << 24, -1
 _NONE = (0, -float("inf"))
@@ -93,6 +96,7 @@ class Vocabulary:
         low = min((s for _, s in self.piece.values() if s > -1e8), default=0.0)
         self.byte_score = low - 10.0
         self.neighbours: dict[tuple[int, int], bool] = {}
+        self.before: dict[tuple[int, int], bool] = {}
         self.parts = parts_of(self.piece)
 
     @classmethod
@@ -117,10 +121,14 @@ class Vocabulary:
         """Whether merging leaves pieces ``a`` and ``b`` of the two joined."""
         known = self.neighbours.get((a, b))
         if known is None:
-            own = [self._string(i) for i in (a, b) if i != _START]
+            known = self.before.pop((a, b), None)
+            if known is None:
+                own = [self._string(i) for i in (a, b) if i != _START]
+                known = self.merged("".join(own)) == own
             if len(self.neighbours) >= PAIRS:
+                self.before = dict(self.neighbours)
                 self.neighbours.clear()
-            known = self.neighbours[a, b] = self.merged("".join(own)) == own
+            self.neighbours[a, b] = known
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -207,16 +215,24 @@ def _path(ids: list[int], sizes: list[int], end: int, v: Vocabulary) -> list[int
 
 
 class Encoder(dict):
-    """Memo from a stretch of text to its identifiers."""
+    """Memo from a stretch of text to its identifiers.
+
+    A worker process holds it for as long as it lives, beside the heap of its executor, so it is kept small: when
+    full it becomes the old half, from which the stretches that are met again come back."""
 
     def __init__(self, v: Vocabulary):
-        self.v = v
+        self.v, self.old, self.held = v, {}, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORDS:
-            self.clear()
-        ids = tuple(stream((word,), self.v))
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = tuple(stream((word,), self.v))
         if len(word) <= 64:
+            own = getsizeof(word) + getsizeof(ids) + _PLACE
+            if len(self) >= WORDS or self.held + own > BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self.held += own
             self[word] = ids
         return ids
 
